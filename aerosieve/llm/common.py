@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
@@ -116,6 +116,15 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def fold(doc_id: int | None) -> int:
-    """crc32 of the id as text mod 3; 1 marks the held-out rows. A null id is never held out."""
-    return 0 if doc_id is None else zlib.crc32(str(doc_id).encode()) % 3
+def fold_of(id_col: str = "doc_id"):
+    """crc32 of the id as text, mod 3; rows where it is 1 are held out. 0 for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3, F.lit(0))
+
+
+def label_sample(labels: DataFrame, column: str, per_class: int) -> DataFrame:
+    """(doc_id, column, mark): at most ``per_class`` ids with label 0 and as many with 1, held-out ids
+    left out, the same ones in every run (smallest hashes). An id with both labels counts as 1."""
+    y = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & (fold_of() != 1))
+    y = y.groupBy("doc_id").agg(F.max(column).cast("int").alias(column)).withColumn("mark", F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)))
+    one = [y.filter(F.col(column) == k).orderBy("mark", "doc_id").limit(per_class) for k in (0, 1)]
+    return one[0].unionByName(one[1])

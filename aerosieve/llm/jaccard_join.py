@@ -6,9 +6,10 @@ Two texts link when the Jaccard similarity of their sets of word n-grams reaches
 1. A count sketch of fixed size (2**20 counters, 4 MB at any input size) gives every n-gram
    a global rank: rare first, ties by hash. Any fixed rank keeps the next step exact.
 2. Prefix rule: of a set of n, the first ``n - ceil(t n) + 1`` n-grams by rank
-   must meet those of any set it links with. Texts whose prefixes meet form blocks
-   (components of a bipartite graph of sets and shared n-grams). Exact copies in a task are
-   collapsed before anything is shuffled.
+   must meet those of any set it links with; how often is known from both sizes. Texts that
+   meet often enough form blocks (components). An n-gram in the prefixes of
+   many texts ties them to one of them, so no group is expanded into its pairs. Exact
+   copies in a task are collapsed before anything is shuffled.
 3. Only members of blocks are read again. A block is cut into chunks of bounded
    weight, and tiles of two chunks go to tasks; one hot block thus spreads over many.
 4. A tile builds a signature tree on each chunk: nodes hold the OR of
@@ -40,6 +41,8 @@ SLICES = 64
 CHUNK_NGRAMS = 1_500_000
 CHUNK_SETS = 4_096
 FILTER_BITS = 24
+#: Up to so many documents with one n-gram in their prefixes, their pairs are counted.
+SHORT_RUN = 16
 
 
 def ngram_set(words: list[bytes], n: int, hasher: WordHasher) -> np.ndarray:
@@ -119,6 +122,7 @@ def _prefixes(docs: DataFrame, id_: str, text: str, n: int, percent: int, sketch
                     kind.append(np.ones(1, np.int8))
                     size.append(np.array([len(s)], np.int32))
                     continue
+                whole = len(s)
                 rank = counts[s >> np.uint64(64 - SKETCH_BITS)]
                 p = prefix_length(len(s), percent)
                 if p < len(s):
@@ -128,7 +132,7 @@ def _prefixes(docs: DataFrame, id_: str, text: str, n: int, percent: int, sketch
                 doc.append(np.full(len(s), i))
                 key.append(s.view(np.int64))
                 kind.append(np.full(len(s), 2, np.int8))
-                size.append(np.zeros(len(s), np.int32))
+                size.append(np.full(len(s), whole, np.int32))
             hasher.trim()
             if not doc:
                 return None
@@ -140,21 +144,59 @@ def _prefixes(docs: DataFrame, id_: str, text: str, n: int, percent: int, sketch
     return map_rows(docs.select(F.col(id_).cast("long"), F.col(text)), make, "doc long, key long, kind byte, size int")
 
 
-def _star(batches):
-    """Rows sorted by key: links every document of a run to the run's smallest id; single rows vanish."""
-    held_key = held_doc = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, doc = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        new = np.empty(len(key), bool)
-        new[0], new[1:] = key[0] != held_key, key[1:] != key[:-1]
-        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        first = np.where(at >= 0, doc[at], held_doc if held_doc is not None else doc[0])
-        held_key, held_doc = key[-1], first[-1]
-        out = pa.table({"a": pa.array(doc[~new]), "b": pa.array(first[~new])})
-        out = out.filter(pc.not_equal(out["a"], out["b"])).group_by(["a", "b"]).aggregate([])
-        yield from out.select(["a", "b"]).to_batches()
+def least_shared(a, b, percent: int):
+    """How many n-grams the prefixes of two linked sets of sizes a and b share at least."""
+    most = np.maximum(a, b)
+    return least_overlap(a, b, percent) + 1 - -(-percent * most // 100)
+
+
+def _meetings(percent: int):
+    """Rows (key, size, doc), sorted -> (a, b, need). Few documents with an n-gram: their pairs whose
+    sizes fit, with the number of such meetings a link asks for. Many: each is tied to the first, need 0.
+    Holds the rows of a short run, or the first row of a long one."""
+
+    def emit(key, size, doc, long_key):
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        length = np.diff(np.append(new, len(key)))
+        run = np.repeat(length, length)
+        if long_key is not None:
+            run = np.where(key == long_key, SHORT_RUN + 1, run)
+        out = []
+        for d in range(1, min(SHORT_RUN, len(key))):
+            x = np.flatnonzero((key[d:] == key[:-d]) & (run[d:] <= SHORT_RUN) & (size[d:] * percent <= size[:-d] * 100) & (doc[d:] != doc[:-d]))
+            if len(x):
+                i, j = doc[x], doc[x + d]
+                out.append((np.maximum(i, j), np.minimum(i, j), least_shared(size[x], size[x + d], percent)))
+        first = np.repeat(doc[new], length)
+        x = (run > SHORT_RUN) & (first != doc)
+        if x.any():
+            pairs = np.unique(np.stack([doc[x], first[x]]), axis=1)
+            out.append((pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int64)))
+        if out:
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["a", "b", "need"])
+
+    def run(batches):
+        held, long_key = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+            if held is not None:
+                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            key = cols[0]
+            last = int(np.searchsorted(key, key[-1]))
+            if len(key) - last > SHORT_RUN or key[-1] == long_key:  # long already: give it out, keep its first row
+                yield from emit(*cols, key[-1] if len(key) - last <= SHORT_RUN else long_key)
+                long_key, held = key[-1], [c[last : last + 1] for c in cols]
+            else:
+                if last:
+                    yield from emit(*(c[:last] for c in cols), long_key)
+                held = [c[last:] for c in cols]
+        if held is not None:
+            yield from emit(*held, long_key)
+
+    return run
 
 
 def _bitmap(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -317,8 +359,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = rows.filter("kind = 0").select("doc", "size")
     copies = rows.filter("kind = 1").select(F.col("doc").alias("a"), F.col("key").alias("b"))
     parts = spark.conf.get("spark.sql.shuffle.partitions")
-    shared = rows.filter("kind = 2").select("key", "doc").repartition(int(parts), "key").sortWithinPartitions("key", "doc")
-    meet = stored(shared.mapInArrow(_star, "a long, b long").distinct(), "meet")
+    shared = rows.filter("kind = 2").select("key", "size", "doc").repartition(int(parts), "key").sortWithinPartitions("key", "size", "doc")
+    meet = shared.mapInArrow(_meetings(percent), "a long, b long, need int").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    meet = stored(meet.filter("n >= need").select("a", "b"), "meet")
     block = stored(components(meet), "block")
 
     # chunks of bounded weight in every block; the hash spreads sizes evenly over the chunks
