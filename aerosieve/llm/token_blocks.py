@@ -14,15 +14,16 @@ the minimum, packed at ``width`` bits, most significant bit first, padded to a b
 exception); then the exceptions' positions as uint16 and their full differences as uint32.
 The width is the PERCENTILE of the widths that the block's differences need.
 
-Texts are encoded with the tokenizers library. A space between two other characters always
-starts a new piece of its pre-tokenizer, so words are encoded one by one and a bounded cache keeps them;
-texts with runs of spaces are encoded whole. Null counts as empty: just the end id. Rows
+Texts are encoded with the tokenizers library. A single space or newline between two other
+characters always starts a new piece of its pre-tokenizer, so words are encoded apart and a bounded cache keeps them;
+texts with runs of white space are encoded whole. Null counts as empty: just the end id. Rows
 with equal ids are ordered by a hash of the text, a null id comes first.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -35,7 +36,9 @@ from .common import map_rows
 BLOCK = 1024
 PERCENTILE = 90
 SEGMENT_IDS = 1 << 18
-CACHE = 300_000
+CACHE = 1_200_000
+#: Texts that are encoded whole: runs of white space, white space at the ends, marks that may be special pieces.
+_WHOLE = re.compile(r"\s\s|^\s|\s$|<\|")
 SCHEMA = "shard int, segment int, first long, n long, doc_ids array<long>, lengths array<long>, starts array<int>, data binary"
 
 
@@ -114,38 +117,66 @@ def block_at(starts: np.ndarray, data: bytes, n: int, position: int) -> np.ndarr
 
 
 class WordEncoder:
-    """text -> ids as little-endian uint32 bytes, the same as the library gives for the whole text."""
+    """text -> ids as little-endian uint32 bytes, the same as the library gives for the whole text.
+
+    Words that the cache lacks are encoded joined, many in a string: a piece that starts with the
+    joining character starts a word. A word is kept with the space or newline before it."""
+
+    _here: dict[str, WordEncoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        """One for all tasks of a worker process."""
+        if path not in cls._here:
+            cls._here[path] = cls(path)
+        return cls._here[path]
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.starts = {lead: np.zeros(max(vocabulary.values()) + 1, bool) for lead in (" ", "\n")}
+        for piece, k in vocabulary.items():
+            # the byte-level alphabet writes a space and a newline with these letters
+            self.starts[" "][k], self.starts["\n"][k] = piece[0] == "\u0120", piece[0] == "\u010a"
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
-    def _learn(self, cache: dict, words: list[str], lead: str) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([lead + w for w in new], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        for lead in (" ", "\n"):
+            new = [w for w in words if (w[:1] == "\n") == (lead == "\n")]
+            groups = [new[i : i + 1_000] for i in range(0, len(new), 1_000)]
+            joined = ["".join([" " + w for w in g]) if lead == " " else "".join(g) for g in groups]
+            for g, ids in zip(groups, self._encode(joined), strict=True):
+                at = np.flatnonzero(self.starts[lead][ids])
+                if len(at) == len(g) and at[0] == 0:
+                    raw, cut = ids.tobytes(), [4 * int(k) for k in at] + [4 * len(ids)]
+                    self.later.update(zip(g, [raw[x:y] for x, y in zip(cut, cut[1:])], strict=True))
+                else:
+                    self.later.update(zip(g, [x.tobytes() for x in self._encode([w if lead == "\n" else " " + w for w in g])], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.later) + len(self.first) > CACHE:
             self.first.clear()
             self.later.clear()
-        whole = [k for k, t in enumerate(texts) if "  " in t or "<|" in t]
-        split = [None if "  " in t or "<|" in t else t.split(" ") for t in texts]
-        self._learn(self.first, [s[0] for s in split if s], "")
+        split = [None if _WHOLE.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
         fresh: set[str] = set()
         for s in split:
             if s:
-                fresh.update(s)
-        self._learn(self.later, list(fresh), " ")
+                fresh.update(s[1:])
+        self._learn(list(fresh.difference(self.later)))
+        heads = list({s[0] for s in split if s and s[0] not in self.first})
+        self.first.update(zip(heads, [x.tobytes() for x in self._encode(heads)], strict=True))
         get = self.later.__getitem__
         out = [b"" if s is None else self.first[s[0]] + b"".join(map(get, s[1:])) for s in split]
-        for k, e in zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, "<u4").tobytes()
+        whole = [k for k, s in enumerate(split) if s is None]
+        for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
+            out[k] = ids.tobytes()
         return out
 
 
@@ -154,7 +185,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     from pyspark import TaskContext
 
     def run(batches):
-        encoder, shard = WordEncoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, shard = WordEncoder.of(tokenizer_path), TaskContext.get().partitionId()
         segment = first = 0
         ids: list = []
         parts: list[bytes] = []
