@@ -87,10 +87,8 @@ def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 4, id_col: str
          source_col: str = "source", length_col: str | None = None, cluster_col: str | None = None) -> DataFrame:
     """(id_col, piece int, bin_id long, bin_offset int, length int): one row per piece of a document."""
     if length_col:
-        d = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-                        (F.xxhash64(cluster_col) if cluster_col else F.xxhash64(text_col)).alias("cluster"), F.greatest(F.col(length_col).cast("long"), F.lit(1)).alias("length"))
-        if cluster_col:
-            d = d.withColumn("cluster", F.when(docs[cluster_col].isNotNull(), F.col("cluster")))
+        cluster = F.when(F.col(cluster_col).isNotNull(), F.xxhash64(cluster_col)) if cluster_col else F.xxhash64(text_col)
+        d = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), F.greatest(F.col(length_col).cast("long"), F.lit(1)).alias("length"))
     elif cluster_col:
         raise ValueError("cluster_col needs length_col")
     else:
@@ -99,7 +97,7 @@ def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 4, id_col: str
     total = d.agg(F.sum("length")).first()[0] or 0
     shards = max(1, -(-total // (capacity * SHARD_BINS)))
     id_type = d.schema["id"].dataType.simpleString()
-    # the id alone may repeat in a third of the rows: equal rows are dealt on by their cluster, length and a salt
+    # an id may repeat in very many rows: text and length take part in the deal
     dealt = d.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", "length"), F.lit(shards)).cast("long"))
 
     def group(pdf):
