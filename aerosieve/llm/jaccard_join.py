@@ -377,19 +377,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # only texts of block members are shuffled: a bitmap of fixed size (2 MB) drops nearly all others at the scan
     bits = 1 << FILTER_BITS
-    marks = block.groupBy(F.shiftright(F.pmod(F.xxhash64("node"), F.lit(bits)), 12).alias("page")).agg(
-        F.collect_set(F.pmod(F.xxhash64("node"), F.lit(bits)) % 4096).alias("bit"))
-    table = np.zeros(bits, np.uint8)
-    for r in marks.toLocalIterator():
-        table[(r["page"] << 12) + np.array(r["bit"])] = 1
-    marked = spark.sparkContext.broadcast(np.packbits(table))
+    hashed = block.select((F.pmod(F.xxhash64("node"), F.lit(bits)) + 1).alias("h"))
+    pages = hashed.groupBy(F.bitmap_bucket_number("h").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    table = np.zeros(bits // 8, np.uint8)
+    for r in pages:  # 2**FILTER_BITS / 32768 rows of 4 KB at most
+        table[(r["page"] - 1) * 4096 : r["page"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    marked = spark.sparkContext.broadcast(table)
 
     def likely():
         m = marked.value
 
         def f(batch):
             k = batch.column(2).to_numpy()
-            keep = (m[k >> 3] >> (7 - (k & 7))) & 1
+            keep = (m[k >> 3] >> (k & 7)) & 1
             return batch.filter(pa.array(keep.astype(bool)))
 
         return f
