@@ -5,7 +5,7 @@ Documents go into bins of ``capacity`` tokens. A bin takes at most
 are words plus one end mark, unless a column gives them; a longer document is cut
 into full bins of its own and a remainder that is packed like the rest.
 
-Documents are dealt to shards by hash of the id, as many shards as the total length asks
+Documents are dealt to shards by hash, as many shards as the total length and count ask
 for, so a hot source or cluster spreads over all of them and no shard grows with the input. In a
 shard, longest first, a document goes to the tightest compatible bin: bins are kept
 in order of residual, each with bitmaps of its sources (one per allowed repeat)
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, map_rows, stored
 
-SHARD_BINS = 2_048
+#: A shard holds about so many bins, and about so many documents at most.
+SHARD_BINS, SHARD_DOCS = 512, 4_096
 
 
 def best_fit(items: list[tuple[int, object, object]], capacity: int, per_source: int) -> list[tuple[int, int]]:
@@ -94,8 +95,8 @@ def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 4, id_col: str
     else:
         d = word_lengths(docs, id_col, text_col, source_col)
     d = stored(d, "lengths")
-    total = d.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, -(-total // (capacity * SHARD_BINS)))
+    total, count = d.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    shards = max(1, -(-total // (capacity * SHARD_BINS)), -(-count // SHARD_DOCS))
     id_type = d.schema["id"].dataType.simpleString()
     # an id may repeat in very many rows: text and length take part in the deal
     dealt = d.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", "length"), F.lit(shards)).cast("long"))

@@ -23,7 +23,6 @@ with equal ids are ordered by a hash of the text, a null id comes first.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
@@ -37,9 +36,18 @@ BLOCK = 1024
 PERCENTILE = 90
 SEGMENT_IDS = 1 << 18
 CACHE = 1_200_000
-#: Texts that are encoded whole: runs of white space, white space at the ends, marks that may be special pieces.
-_WHOLE = re.compile(r"\s\s|^\s|\s$|<\|")
-SCHEMA = "shard int, segment int, first long, n long, doc_ids array<long>, lengths array<long>, starts array<int>, data binary"
+#: White space other than space and newline.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_ASCII_SPACE = [c for c in _OTHER_SPACE if c < "\x80"]
+
+
+def _whole(t: str) -> bool:
+    """Whether a text is encoded whole: runs of white space, white space at the ends, marks that may be special pieces."""
+    if not t:
+        return False
+    if t[0].isspace() or t[-1].isspace() or any(x in t for x in ("  ", "\n\n", " \n", "\n ", "<|")):
+        return True
+    return any(c in t for c in (_ASCII_SPACE if t.isascii() else _OTHER_SPACE))
 
 
 def _bits(d: np.ndarray, width: int) -> np.ndarray:
@@ -164,7 +172,7 @@ class WordEncoder:
         if len(self.later) + len(self.first) > CACHE:
             self.first.clear()
             self.later.clear()
-        split = [None if _WHOLE.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        split = [None if _whole(t) else t.replace("\n", " \n").split(" ") for t in texts]
         fresh: set[str] = set()
         for s in split:
             if s:
