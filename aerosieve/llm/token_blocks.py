@@ -27,7 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows
@@ -36,6 +36,7 @@ BLOCK = 1024
 PERCENTILE = 90
 SEGMENT_IDS = 1 << 18
 CACHE = 1_200_000
+SCHEMA = "shard int, segment int, first long, n long, doc_ids array<long>, lengths array<long>, starts array<int>, data binary"
 #: White space other than space and newline.
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _ASCII_SPACE = [c for c in _OTHER_SPACE if c < "\x80"]
@@ -231,10 +232,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the blocks of a store."""
     rows = spark.read.schema(SCHEMA).parquet(path)
-    sizes = rows.groupBy("shard").agg(F.sum("n").alias("n"))
-    earlier = sizes.select(F.col("shard").alias("s"), F.col("n").alias("m"))
-    # one row per shard, so this is a small table; offsets are sums over earlier shards
-    offsets = sizes.join(earlier, F.col("s") < F.col("shard"), "left").groupBy("shard").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("offset"))
+    # one row per shard, so the window runs over a small table
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
 
     def make():
         def f(batch):
