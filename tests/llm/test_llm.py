@@ -369,8 +369,8 @@ def test_pipeline(spark):
     one = cp.STAGES[0][1](spark, docs, DATA)
     scores = {r["doc_id"]: r["predicted"] for r in queries.QUERIES["op10_toxicity"](spark, DATA).collect()}
     assert one.columns == docs.columns and ids(one) == {d for d, p in scores.items() if p == 0}
-    two = cp.STAGES[1][1](spark, docs, DATA)
-    assert np.mean([d in ids(two) for d, (q, _) in labels.items() if q == 1]) > 0.97
+    two = ids(cp.STAGES[1][1](spark, docs, DATA))
+    assert np.mean([d in two for d, (q, _) in labels.items() if q == 1]) > 0.97
     three = cp.STAGES[2][1](spark, docs, DATA)
     want = brute_classes([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
     assert three.columns == docs.columns and ids(three) == {d for d, (_, c) in want.items() if c == d}
