@@ -87,4 +87,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+_CLASSES = """ends AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e),
+    reach AS (SELECT u, u AS top FROM ends UNION SELECT ends.v, reach.top FROM reach JOIN ends ON ends.u = reach.u),
+    low AS (SELECT u, min(top) AS c FROM reach GROUP BY u)"""
+
+ORACLES: dict[str, str] = {
+    "op2_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    g AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS n FROM v WHERE x IS NOT NULL),
+    e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM g p JOIN g q ON p.vec_id < q.vec_id AND p.n > 0 AND q.n > 0 AND list_dot_product(p.x, q.x) / (p.n * q.n) >= 0.9),
+    {_CLASSES}, k AS (SELECT u, count(*) AS n FROM ends GROUP BY u)
+    SELECT vec_id, coalesce(k.n, 0) AS n_links, coalesce(low.c, vec_id) AS component_id, coalesce(low.c, vec_id) = vec_id AS kept
+    FROM embeddings LEFT JOIN k ON k.u = vec_id LEFT JOIN low ON low.u = vec_id""",
+    "op5_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 4) UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 3)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+    {_CLASSES}
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low.c, d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.u = d.doc_id""",
+}

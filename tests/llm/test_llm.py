@@ -376,3 +376,15 @@ def test_pipeline(spark):
     assert three.columns == docs.columns and ids(three) == {d for d, (_, c) in want.items() if c == d}
     out = cp.run(spark, DATA)
     assert {"doc_id", "bin_id"} <= set(out.columns) and ids(out) < ids(docs) and out.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, SMALL)
+    cols = sorted(got.columns)
+    q = c.execute(queries.ORACLES[name])
+    order = [[x[0] for x in q.description].index(k) for k in cols]
+    assert sorted(tuple(r[k] for k in cols) for r in got.collect()) == sorted(tuple(r[i] for i in order) for r in q.fetchall())
