@@ -148,6 +148,17 @@ def test_toxicity_odd_rows(spark):
     assert {r["score"] for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_keeps_class_rate_past_the_cap(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_ROWS", 300)
+    rng = random.Random(8)
+    toxic = {i: int(i % 10 == 0) for i in range(6000)}
+    # the classes overlap: a toxic text has somewhat more of the first words
+    text = lambda y: " ".join(f"w{rng.randrange(40) if rng.random() < 0.3 + 0.2 * y else rng.randrange(40, 400)}" for _ in range(12))
+    docs = spark.createDataFrame([(i, text(y)) for i, y in toxic.items()], "doc_id long, text string")
+    got = toxicity.score_toxicity(docs, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")).toPandas()
+    assert abs(got["score"].mean() - 0.1) < 0.05
+
+
 # ---- op5
 
 def shingles(text, n):
