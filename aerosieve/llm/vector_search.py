@@ -6,7 +6,8 @@ it lies near a boundary, replicated to up to REPLICAS lists whose centroid is wi
 1 + CLOSURE of the nearest distance. Lists are found through a graph over the centroids
 (each tied to its nearest ones) that every task holds in memory and searches best first.
 A query opens the lists whose distance is within a ratio of its nearest one; the ratio is the smallest that
-reaches TARGET recall for sample queries against the sample.
+reaches TARGET recall for sample queries against the sample. Where those lists hold too few ids (isolated
+vectors, small groups of copies), it opens further ones in ascending distance.
 
 For inner products, vectors get one more component that makes all equally long, so that the nearest by
 distance is the largest by product; scores are products of the original vectors in
@@ -35,6 +36,8 @@ REPLICAS = 4
 CLOSURE = 0.02
 NEIGHBOURS = 16
 CHUNK = 4_096
+#: Opened lists hold SPARE * k ids at least, besides the query's own.
+SPARE = 4
 
 
 def balanced_centroids(x: np.ndarray, lists: int) -> np.ndarray:
@@ -100,6 +103,15 @@ class Lists:
             todo[r, c] = True
         return d <= d.min(axis=1)[:, None] * ratio**2, d
 
+    def fill(self, q: np.ndarray, found: np.ndarray, held: np.ndarray, need: int) -> np.ndarray:
+        """``found`` with further lists, nearest first, until those of a row hold ``need`` ids (``held`` by list) or all are open."""
+        found = found.copy()
+        for i in np.flatnonzero(found @ held < need):
+            d = np.where(found[i], -1.0, distances(q[i : i + 1], self.centroids)[0])
+            order = np.argsort(d, kind="stable")
+            found[i, order[: np.searchsorted(np.cumsum(held[order]), need) + 1]] = True
+        return found
+
     def _measure(self, x: np.ndarray, k: int) -> float:
         q = self.query(x[:SAMPLE_QUERIES, :-1], self.longest)
         top = np.argsort(distances(q, x), axis=1, kind="stable")[:, : k + 1]
@@ -107,8 +119,11 @@ class Lists:
         stored_in, _ = self.closure(x)
         need = np.empty(top.shape)
         for i, t in enumerate(top):  # the nearest list that has the neighbour
-            need[i] = np.where(stored_in[t], d[i][None, :], np.inf).min(axis=1) / d[i].min()
-        return float(np.quantile(need, TARGET)) + 1e-9
+            need[i] = np.where(stored_in[t], d[i][None, :], np.inf).min(axis=1)
+        # a query at its centroid has no ratio; what it opens is left to fill()
+        near = d.min(axis=1)
+        need = need[near > 0] / near[near > 0][:, None]
+        return float(np.quantile(need, TARGET)) + 1e-9 if len(need) else 1.0
 
     def closure(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = distances(x, self.centroids)
@@ -118,13 +133,19 @@ class Lists:
         return near, d
 
 
-def _to_lists(vectors: DataFrame, lists, queries: bool) -> DataFrame:
+def _to_lists(vectors: DataFrame, lists, held=None, need: int = 0) -> DataFrame:
+    """(id, vec, list): stored vectors, or with ``held`` (ids counted by list) queries and the lists they open."""
+
     def make():
         m = lists.value
 
         def f(batch):
             x = matrix(batch.column(1))
-            hit = m.search(m.query(x, m.longest), m.ratio)[0] if queries else m.closure(m.stretch(x))[0]
+            if held is None:
+                hit = m.closure(m.stretch(x))[0]
+            else:
+                q = m.query(x, m.longest)
+                hit = m.fill(q, m.search(q, m.ratio)[0], held.value, need)
             r, c = np.nonzero(hit)
             return pa.table([batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array(c, pa.int32())], names=["id", "vec", "list"])
 
@@ -188,11 +209,17 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     if not first["n"]:
         return spark.createDataFrame([], schema)
     lists = spark.sparkContext.broadcast(Lists(sample(v, SAMPLE), first["n"], first["m"], k))  # at most MAX_LISTS centroids
-    have = _to_lists(v, lists, queries=False)
-    sizes = have.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    have = _to_lists(v, lists)
+    placed = stored(have.select("id", "list"), "placed")
+    sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    # an id counts in one of its lists only, so the sum over opened lists never exceeds the ids in them
+    homes = placed.groupBy("id").agg(F.min(F.struct(F.xxhash64("id", "list"), "list")).alias("home")).groupBy("home.list").count().toArrow()
+    held = np.zeros(len(lists.value.centroids), np.int64)  # at most MAX_LISTS entries
+    held[homes["list"].to_numpy()] = homes["count"].to_numpy()
+    held = spark.sparkContext.broadcast(held)
     queries = v.withColumnRenamed("id", id_col).filter(is_query).withColumnRenamed(id_col, "id")
     m = have.join(sizes, "list").select("list", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), F.lit(0).cast("byte").alias("kind"), "id", "vec")
-    q = _to_lists(queries, lists, queries=True).join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).cast("byte").alias("kind"), "id", "vec")
+    q = _to_lists(queries, lists, held, SPARE * k + 1).join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).cast("byte").alias("kind"), "id", "vec")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = m.unionByName(q).repartition(parts, "list", "chunk").sortWithinPartitions("list", "chunk", "kind")
     found = met.mapInArrow(_best(k), "query_id long, vec_id long, score double")
@@ -200,4 +227,5 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     out = stored(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
     drop_stored(v)
+    drop_stored(placed)
     return out

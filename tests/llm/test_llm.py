@@ -111,6 +111,19 @@ def test_nearest(spark):
     assert vector_search.nearest(df.limit(0), F.col("vec_id") == 0, 20).count() == 0
 
 
+def test_nearest_isolated_vectors_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "PER_LIST", 20)
+    rng = np.random.default_rng(5)
+    axes = np.eye(24) * 30
+    v = [*(rng.standard_normal((3000, 24)) * 0.5 + np.eye(24)[0] * 5)]
+    v += [axes[1 + i] for i in range(6)]  # alone
+    for i, n in enumerate((2, 5, 12, 19)):
+        v += [axes[10 + i]] * n
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(3001, (axes[1] * 0.9).tolist())], "vec_id long, embedding array<double>")
+    got = collections.Counter(r["query_id"] for r in vector_search.nearest(df, F.col("vec_id") >= 3000, 20).collect())
+    assert got == {i: 20 for i in range(3000, len(v))}
+
+
 # ---- op4, op10
 
 def test_quality_and_toxicity_held_out(spark):
