@@ -296,6 +296,11 @@ def test_html(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_self_closed_svg_and_math():
+    page = '<article><p>Before <svg class="i" width="1"/> it</p><p>Sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> and <math/> after</p><svg><text>Icon</text></svg><p>Last</p></article>'
+    assert html_text.page_lines(page) == (["Before it", "Sum x+1 and after", "Last"], [])
+
+
 def test_common_lines():
     rng = random.Random(2)
     for _ in range(60):
