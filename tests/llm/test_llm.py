@@ -296,6 +296,14 @@ def test_html(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-comments", "search-page", "with-related", "search"])
+def test_html_article_in_named_wrapper(name):
+    page = f'<div class="{name}"><p>Around</p><article><p>Text</p></article></div><div class="sidebar">Side</div>'
+    assert html_text.page_lines(page)[0] == ["Text"] and "Side" not in html_text.page_lines(page)[1]
+    page = '<main><section id="related-work"><p>Others</p></section><div id="search-methods">Ours</div><div class="related-posts">More</div><div id="comments"><article class="comment">First!</article></div></main>'
+    assert html_text.page_lines(page) == (["Others", "Ours"], [])
+
+
 def test_html_self_closed_svg_and_math():
     page = '<article><p>Before <svg class="i" width="1"/> it</p><p>Sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> and <math/> after</p><svg><text>Icon</text></svg><p>Last</p></article>'
     assert html_text.page_lines(page) == (["Before it", "Sum x+1 and after", "Last"], [])
