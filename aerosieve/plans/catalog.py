@@ -610,10 +610,14 @@ def i15(spark, d):
 
 # ---- streaming
 
+PAGE_ROWS = 1_000  # measurements of a landed page, about
+
+
 @query("s1_ingest_stream", "SELECT DISTINCT user_id AS location_id, strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS datetime_from_utc FROM events")
 def s1(spark, d):
     entry = F.expr("named_struct('value', value, 'period', named_struct('datetimeFrom', named_struct('utc', date_format(ts, \"yyyy-MM-dd'T'HH:00:00'Z'\"))))")
-    pages = table(spark, d, "events").groupBy(F.col("user_id").alias("location_id")).agg(F.min("user_id").alias("sensor_id"), F.collect_list(entry).alias("results"))
+    dealt = ingest.with_chunks(table(spark, d, "events"), ["user_id"], PAGE_ROWS)
+    pages = dealt.groupBy(F.col("user_id").alias("location_id"), "_chunk").agg(F.min("user_id").alias("sensor_id"), F.collect_list(entry).alias("results")).drop("_chunk")
     landed, out, state = (scratch_path(spark, x) for x in ("landed", "ingested", "state"))
     pages.write.json(landed)
     streams.ingest_stream(spark, landed, out, state, watermark="90 days").awaitTermination()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ REGIONS = {
     "india": (68.0, 6.0, 97.5, 37.5),
 }
 PROVIDER_ID, PROVIDER_NAME = 168, "CPCB"
+#: Rows that a task gathers for a file of a partition.
+FILE_ROWS = 50_000
 
 
 def read_registry(spark: SparkSession, path: str, keep: str | None = None) -> DataFrame:
@@ -113,10 +118,22 @@ def fetch_outcome(stations: DataFrame, sensors: DataFrame, rows: DataFrame, key:
     return out.withColumns(n).withColumn("outcome", F.when(F.col("n_sensors") == 0, "failed").when(F.col("n_rows") == 0, "empty").otherwise("done"))
 
 
-def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "overwrite") -> None:
-    """Parquet by partition columns; rows of a partition are gathered first, so each directory gets few files.
-    Prefer a month to a station: thousands of stations mean as many tiny files."""
-    df.repartition(*by).write.mode(mode).partitionBy(*by).parquet(path)
+def with_chunks(df: DataFrame, by: list[str], rows: int, chunk: str = "_chunk") -> DataFrame:
+    """Column ``chunk`` that deals every group by row hash to pieces of about ``rows`` rows, as its count asks for."""
+    n = df.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).count()
+    # only groups past ``rows``, so at most one row per ``rows`` rows of df is broadcast
+    large = n.filter(F.col("count") > rows).withColumn("_pieces", F.ceil(F.col("count") / rows)).drop("count")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)])
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    piece = F.coalesce(F.pmod(F.xxhash64(*hashed), F.col("_pieces")), F.lit(0)).cast("int")
+    return df.join(F.broadcast(large), same, "left").withColumn(chunk, piece).select(*df.columns, chunk)
+
+
+def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "overwrite", rows: int = FILE_ROWS) -> None:
+    """Parquet by partition columns; rows of a partition are gathered in chunks of about ``rows``, so each directory gets
+    few files and no task a whole partition. Prefer a month to a station: thousands of stations mean as many tiny files."""
+    df = with_chunks(df, by, rows).repartition(*by, "_chunk").drop("_chunk")
+    df.write.mode(mode).option("maxRecordsPerFile", 2 * rows).partitionBy(*by).parquet(path)
 
 
 def read_combined(spark: SparkSession, path: str) -> DataFrame:

@@ -258,3 +258,25 @@ def test_stream_equals_batch(spark, tmp_path):
     got = rows(spark.read.parquet(str(tmp_path / "out")))
     batch = rows(temporal.daily_mean(df, ["k"], "ts", "v"))
     assert got and set(got) <= set(batch) and len(got) == sum(1 for r in batch if r[1] <= dt.date(2025, 1, 5))
+
+def test_write_partitioned_spreads_a_hot_month(spark, tmp_path):
+    df = spark.range(3000).select("id", F.when(F.col("id") < 2800, 202401).when(F.col("id") < 2900, 202402).alias("month"))
+    kept = ingest.with_chunks(df, ["month"], 250).groupBy("month", "_chunk").count().collect()
+    assert sum(r["count"] for r in kept) == 3000 and max(r["count"] for r in kept) < 400 and len(kept) == 12 + 2
+    ingest.write_partitioned(df, str(tmp_path / "p"), ["month"], rows=250)
+    back = ingest.read_combined(spark, str(tmp_path / "p"))
+    assert sorted(map(tuple, back.select("id", "month").collect())) == sorted(map(tuple, df.collect()))
+    assert len(list((tmp_path / "p" / "month=202401").glob("*.parquet"))) > 1
+
+
+def test_landed_pages_are_bounded(spark, monkeypatch):
+    from aerosieve.plans import catalog
+
+    monkeypatch.setattr(catalog, "PAGE_ROWS", 20, raising=False)
+    paths = {}
+    real = catalog.scratch_path
+    monkeypatch.setattr(catalog, "scratch_path", lambda s, x: paths.setdefault(x, real(s, x)))
+    rows = catalog.QUERIES["s1_ingest_stream"](spark, "/root/testdata/sf0.001").count()
+    pages = spark.read.json(paths["landed"]).select(F.size("results").alias("n")).toPandas()["n"]
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert rows and pages.sum() == events and pages.max() < 50
