@@ -602,6 +602,13 @@ def i14(spark, d):
     return ingest.sample_raster_at_points(geo.snap_to_grid(points(spark, d), "lat", "lon", 0.5, 0.625, 0.0, 0.125), px, ["cell_lat", "cell_lon"], "aod").select("id", "image_id", "aod")
 
 
+@query("i14_sample_raster_whole", f"WITH {C_POINTS}, {_CELLS}, px AS (SELECT o_orderkey AS image_id, (o_orderkey % 3) * 0.5 + 28.25 AS cell_lat, 76.6875 + (o_custkey % 3) * 0.625 AS cell_lon, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS aod FROM orders) SELECT c.id, px.image_id, px.aod FROM c JOIN px ON px.cell_lat = c.cell_lat AND px.cell_lon = c.cell_lon WHERE px.aod IS NOT NULL")
+def i14_whole(spark, d):
+    """As i14_sample_raster, over every pixel."""
+    px = table(spark, d, "orders").selectExpr("o_orderkey AS image_id", "cast((o_orderkey % 3) * 0.5 + 28.25 as double) AS cell_lat", "cast(76.6875 + (o_custkey % 3) * 0.625 as double) AS cell_lon", "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS aod")
+    return ingest.sample_raster_at_points(geo.snap_to_grid(points(spark, d), "lat", "lon", 0.5, 0.625, 0.0, 0.125), px, ["cell_lat", "cell_lon"], "aod").select("id", "image_id", "aod")
+
+
 @query("i15_cell_series", f"WITH {C_POINTS}, {_CELLS}, {_NUMBERED}, grid AS (SELECT event_id, (event_id % 3) * 0.5 + 28.25 AS cell_lat, 76.6875 + (user_id % 3) * 0.625 AS cell_lon, value FROM events) SELECT grid.event_id, k.cell_id, grid.value FROM grid JOIN (SELECT DISTINCT cell_lat, cell_lon, cell_id FROM m) k ON k.cell_lat = grid.cell_lat AND k.cell_lon = grid.cell_lon")
 def i15(spark, d):
     grid = table(spark, d, "events").selectExpr("event_id", "cast((event_id % 3) * 0.5 + 28.25 as double) AS cell_lat", "cast(76.6875 + (user_id % 3) * 0.625 as double) AS cell_lon", "value")
