@@ -304,6 +304,21 @@ def test_html_article_in_named_wrapper(name):
     assert html_text.page_lines(page) == (["Others", "Ours"], [])
 
 
+def test_html_copies_on_unmarked_pages(spark):
+    def shell(*article):
+        return "<body><div>Welcome to the shop</div>" + "".join(f"<p>{x}</p>" for x in article) + "<div>All rights kept</div></body>"
+
+    story = [f"Sentence {i} of a story that was copied" for i in range(8)]
+    other = lambda k: [f"Line {i} of page {k} and of no other" for i in range(8)]
+    rows = [(i, f"http://a.com/c/{i}", shell(*story)) for i in range(2)]  # nothing but copies
+    rows += [(10 + i, f"http://b.com/c/{i}", shell(*story, *([f"Edited {i}"] if i % 2 else []))) for i in range(5)]
+    rows += [(20 + i, f"http://b.com/d/{i}", shell(*other(i))) for i in range(3)]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == ["Welcome to the shop", *story, "All rights kept"] for i in range(2))
+    assert all(got[10 + i] == [*story, *([f"Edited {i}"] if i % 2 else [])] for i in range(5))
+    assert all(got[20 + i] == other(i) for i in range(3))
+
+
 def test_html_self_closed_svg_and_math():
     page = '<article><p>Before <svg class="i" width="1"/> it</p><p>Sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> and <math/> after</p><svg><text>Icon</text></svg><p>Last</p></article>'
     assert html_text.page_lines(page) == (["Before it", "Sum x+1 and after", "Last"], [])
