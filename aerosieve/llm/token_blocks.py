@@ -16,8 +16,9 @@ The width is the PERCENTILE of the widths that the block's differences need.
 
 Texts are encoded with the tokenizers library. A single space or newline between two other
 characters always starts a new piece of its pre-tokenizer, so words are encoded apart and a bounded cache keeps them;
-texts with runs of white space are encoded whole. Null counts as empty: just the end id. Rows
-with equal ids are ordered by a hash of the text, a null id comes first.
+texts with runs of white space are encoded whole, very long ones included. Null counts as empty: just the end id. Rows
+with equal ids are ordered by a hash of the text, a null id comes first. An empty table gives an empty store;
+columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import drop_stored, map_rows, stored
 
 BLOCK = 1024
 PERCENTILE = 90
@@ -74,12 +76,9 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     for where, x in groups:
         low = x.min(axis=1)
         d = x - low[:, None]
-        need = np.zeros(d.shape, np.int64)
-        for k in range(32):
-            if not (more := d >= np.uint32(1 << k)).any():
-                break
-            need += more
-        width = np.sort(need, axis=1)[:, -(-d.shape[1] * PERCENTILE // 100) - 1]
+        need = np.frexp(d.astype(np.float64))[1]  # bits of each difference, exact in a double
+        at = -(-d.shape[1] * PERCENTILE // 100) - 1
+        width = np.partition(need, at, axis=1)[:, at]
         odd = need > width[:, None]
         d_low = np.where(odd, 0, d).astype(np.uint32)
         for w in np.unique(width):
@@ -126,10 +125,11 @@ def block_at(starts: np.ndarray, data: bytes, n: int, position: int) -> np.ndarr
 
 
 class WordEncoder:
-    """text -> ids as little-endian uint32 bytes, the same as the library gives for the whole text.
+    """texts -> ids, the same as the library gives for each whole text.
 
-    Words that the cache lacks are encoded joined, many in a string: a piece that starts with the
-    joining character starts a word. A word is kept with the space or newline before it."""
+    A batch is split and its distinct words numbered in Arrow; only distinct words are looked up, and ids
+    are gathered by numpy. Words that the cache lacks are encoded joined, many in a string: a piece that
+    starts with the joining character starts a word. A word is kept with the space or newline before it."""
 
     _here: dict[str, WordEncoder] = {}
 
@@ -150,12 +150,30 @@ class WordEncoder:
         for piece, k in vocabulary.items():
             # the byte-level alphabet writes a space and a newline with these letters
             self.starts[" "][k], self.starts["\n"][k] = piece[0] == "\u0120", piece[0] == "\u010a"
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[str, int] = {}  # word -> its place below
+        self.first: dict[str, int] = {}  # the same for words with nothing before them
+        self.words = self.used = 0
+        self.at, self.size, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _keep(self, slot: dict[str, int], words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Puts words with their ids, one after the other, into the cache; its arrays grow by doubling."""
+        first, self.words = self.words, self.words + len(words)
+        slot.update(zip(words, range(first, self.words), strict=True))
+        while self.words > len(self.at):
+            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[first : self.words] = sizes
+        self.at[first : self.words] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+
     def _learn(self, words: list[str]) -> None:
         for lead in (" ", "\n"):
             new = [w for w in words if (w[:1] == "\n") == (lead == "\n")]
@@ -164,69 +182,109 @@ class WordEncoder:
             for g, ids in zip(groups, self._encode(joined), strict=True):
                 at = np.flatnonzero(self.starts[lead][ids])
                 if len(at) == len(g) and at[0] == 0:
-                    raw, cut = ids.tobytes(), [4 * int(k) for k in at] + [4 * len(ids)]
-                    self.later.update(zip(g, [raw[x:y] for x, y in zip(cut, cut[1:])], strict=True))
+                    self._keep(self.slot, g, ids, np.diff(np.append(at, len(ids))))
                 else:
-                    self.later.update(zip(g, [x.tobytes() for x in self._encode([w if lead == "\n" else " " + w for w in g])], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.later) + len(self.first) > CACHE:
-            self.first.clear()
-            self.later.clear()
-        split = [None if _whole(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        fresh: set[str] = set()
-        for s in split:
-            if s:
-                fresh.update(s[1:])
-        self._learn(list(fresh.difference(self.later)))
-        heads = list({s[0] for s in split if s and s[0] not in self.first})
-        self.first.update(zip(heads, [x.tobytes() for x in self._encode(heads)], strict=True))
-        get = self.later.__getitem__
-        out = [b"" if s is None else self.first[s[0]] + b"".join(map(get, s[1:])) for s in split]
-        whole = [k for k, s in enumerate(split) if s is None]
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
-            out[k] = ids.tobytes()
-        return out
+                    parts = self._encode([w if lead == "\n" else " " + w for w in g])
+                    self._keep(self.slot, g, np.concatenate(parts), np.array([len(x) for x in parts]))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, how many each has) of a string column; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        strings = texts.to_pylist()
+        odd = np.array([_whole(t) for t in strings], bool)
+        whole = np.flatnonzero(odd)
+        plain = pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n")
+        split = pc.split_pattern(plain, " ")
+        lo = split.offsets.to_numpy().astype(np.int64)
+        lo -= lo[0]
+        words = split.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        heads = [names[k] for k in words.indices.take(pa.array(lo[:-1])).to_pylist()]
+        if self.words + len(names) + len(heads) > CACHE:
+            self._clear()
+        self._learn([w for w in names if w not in self.slot])
+        new = list({h for h in heads if h not in self.first})
+        if new:
+            parts = self._encode(new)
+            self._keep(self.first, new, np.concatenate(parts), np.array([len(x) for x in parts]))
+        slots = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))[words.indices.to_numpy()]
+        slots[lo[:-1]] = [self.first[h] for h in heads]
+        size = self.size[slots]
+        end = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.at[slots] - end[:-1], size) + np.arange(end[-1])]
+        counts = np.zeros(len(strings), np.int64)
+        counts[~odd] = end[lo[1:]] - end[lo[:-1]]
+        if not len(whole):
+            return ids, counts
+        apart = self._encode([strings[k] for k in whole])
+        counts[whole] = [len(x) for x in apart]
+        out = np.empty(counts.sum(), np.uint32)
+        mine = np.repeat(odd, counts)
+        out[~mine], out[mine] = ids, np.concatenate(apart)
+        return out, counts
+
+
+def encode_rows(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc long, h long, ids binary) of every row: its ids and the end id as little-endian integers of 2 bytes,
+    or of 4 where the row has an id that needs them (then ``wide``)."""
+
+    def make():
+        encoder = WordEncoder.of(tokenizer_path)
+
+        def f(batch):
+            ids, counts = encoder.encode(batch.column(2))
+            # the end id after each document
+            at = np.cumsum(counts)
+            ids = np.insert(ids, at, np.uint32(end_id))
+            end = np.cumsum(counts + 1)
+            top = np.maximum.reduceat(ids, end - counts - 1)
+            small, big = ids.astype("<u2"), ids.astype("<u4")
+            wide = top > 0xFFFF
+            rows = [(big if w else small)[x:y].tobytes() for w, x, y in zip(wide.tolist(), (end - counts - 1).tolist(), end.tolist(), strict=True)]
+            return pa.table([batch.column(0), batch.column(1), pa.array(wide), pa.array(rows, pa.binary())], names=["doc", "h", "wide", "ids"])
+
+        return f
+
+    # an id that very many rows share can be split: equal ids are ordered by a hash of the text
+    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return map_rows(d, make, "doc long, h long, wide boolean, ids binary")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
-    """Encodes ``docs`` and writes the store at ``path``. tokenizer_path: a file that every executor has (the installed tokenizer)."""
+    """Encodes ``docs`` and writes the store at ``path``. tokenizer_path: a file that every executor has (the installed tokenizer).
+    Texts stay where they are: their ids, at two bytes each, are what is sorted by document."""
     from pyspark import TaskContext
 
     def run(batches):
-        encoder, shard = WordEncoder.of(tokenizer_path), TaskContext.get().partitionId()
+        shard = TaskContext.get().partitionId()
         segment = first = 0
         ids: list = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         held = 0
 
         def close():
             nonlocal segment, first, ids, parts, held
-            flat = np.frombuffer(b"".join(parts), "<u4")
+            flat = np.concatenate(parts)
             starts, data = pack_blocks(flat)
-            row = {"shard": [shard], "segment": [segment], "first": [first], "n": [len(flat)], "doc_ids": [ids], "lengths": [[len(p) // 4 for p in parts]], "starts": [starts.tolist()], "data": [data]}
+            row = {"shard": [shard], "segment": [segment], "first": [first], "n": [len(flat)], "doc_ids": [ids], "lengths": [[len(p) for p in parts]], "starts": [starts.tolist()], "data": [data]}
             segment, first, ids, parts, held = segment + 1, first + len(flat), [], [], 0
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], list(row))
 
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            step = max(1, int(batch.num_rows * (4 << 20) / max(1, batch.nbytes)))
-            for i in range(0, batch.num_rows, step):
-                cut = batch.slice(i, step)
-                for doc, e in zip(cut.column(0).to_pylist(), encoder.encode([t or "" for t in cut.column(1).to_pylist()]), strict=True):
-                    ids.append(doc)
-                    parts.append(e + end)
-                    held += len(e) // 4 + 1
-                    if held >= SEGMENT_IDS:
-                        yield close()
+            for doc, wide, e in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                ids.append(doc)
+                parts.append(np.frombuffer(e, "<u4" if wide else "<u2").astype(np.uint32))
+                held += len(parts[-1])
+                if held >= SEGMENT_IDS:
+                    yield close()
         if parts:
             yield close()
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = stored(encode_rows(docs, tokenizer_path, end_id, id_col, text_col), "ids")
     n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = d.withColumn("h", F.xxhash64("text"))  # an id that very many rows share can be split
-    d.repartitionByRange(n, "doc", "h").sortWithinPartitions("doc", "h").select("doc", "text").mapInArrow(run, SCHEMA).write.parquet(path)
+    rows.repartitionByRange(n, "doc", "h").sortWithinPartitions("doc", "h").select("doc", "wide", "ids").mapInArrow(run, SCHEMA).write.parquet(path)
+    drop_stored(rows)
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
