@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, map_rows, stored
+from .common import map_rows
 
 BLOCK = 1024
 PERCENTILE = 90
@@ -54,16 +54,32 @@ def _whole(t: str) -> bool:
 
 
 def _bits(d: np.ndarray, width: int) -> np.ndarray:
-    """(rows, count) differences -> packed rows."""
-    wide = np.unpackbits(d.astype(">u4").view(np.uint8).reshape(len(d), -1, 4), axis=2)
-    return np.packbits(wide[:, :, 32 - width :].reshape(len(d), -1), axis=1)
+    """(rows, count) differences -> packed rows. Eight differences take ``width`` bytes, each put together by shifts."""
+    rows, count = d.shape
+    padded = np.zeros((rows, -(-count // 8) * 8), np.uint32)
+    padded[:, :count] = d
+    v = np.ascontiguousarray(padded.reshape(-1, 8).T)
+    out = np.zeros((v.shape[1], width), np.uint8)
+    for j in range(width):
+        for i in range(8 * j // width, min(7, (8 * j + 7) // width) + 1):
+            down = (i + 1) * width - 8 * (j + 1)
+            out[:, j] |= (v[i] >> np.uint32(down) if down >= 0 else v[i] << np.uint32(-down)).astype(np.uint8)
+    return out.reshape(rows, -1)[:, : -(-count * width // 8)]
 
 
 def _numbers(packed: np.ndarray, count: int, width: int) -> np.ndarray:
-    bits = np.unpackbits(packed, axis=1)[:, : count * width].reshape(len(packed), count, width)
-    wide = np.zeros((len(packed), count, 32), np.uint8)
-    wide[:, :, 32 - width :] = bits
-    return np.packbits(wide, axis=2).view(">u4")[:, :, 0].astype(np.uint32)
+    rows, groups = len(packed), -(-count // 8)
+    padded = np.zeros((rows, groups * width), np.uint8)
+    padded[:, : packed.shape[1]] = packed
+    p = np.ascontiguousarray(padded.reshape(-1, width).T)
+    out = np.empty((rows * groups, 8), np.uint32)
+    for i in range(8):
+        first, last = i * width // 8, ((i + 1) * width - 1) // 8
+        x = p[first].astype(np.uint64)
+        for j in range(first + 1, last + 1):
+            x = (x << np.uint64(8)) | p[j]
+        out[:, i] = ((x >> np.uint64(8 * (last + 1) - (i + 1) * width)) & np.uint64((1 << width) - 1)).astype(np.uint32)
+    return out.reshape(rows, -1)[:, :count]
 
 
 def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -127,8 +143,8 @@ def block_at(starts: np.ndarray, data: bytes, n: int, position: int) -> np.ndarr
 class WordEncoder:
     """texts -> ids, the same as the library gives for each whole text.
 
-    A batch is split and its distinct words numbered in Arrow; only distinct words are looked up, and ids
-    are gathered by numpy. Words that the cache lacks are encoded joined, many in a string: a piece that
+    A batch is split and its distinct words numbered in Arrow; only distinct words are looked up, and Arrow
+    puts their ids together. Words that the cache lacks are encoded joined, many in a string: a piece that
     starts with the joining character starts a word. A word is kept with the space or newline before it."""
 
     _here: dict[str, WordEncoder] = {}
@@ -150,30 +166,12 @@ class WordEncoder:
         for piece, k in vocabulary.items():
             # the byte-level alphabet writes a space and a newline with these letters
             self.starts[" "][k], self.starts["\n"][k] = piece[0] == "\u0120", piece[0] == "\u010a"
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slot: dict[str, int] = {}  # word -> its place below
-        self.first: dict[str, int] = {}  # the same for words with nothing before them
-        self.words = self.used = 0
-        self.at, self.size, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.first: dict[str, bytes] = {}  # ids, as little-endian uint32, of words with nothing before them
+        self.later: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _keep(self, slot: dict[str, int], words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Puts words with their ids, one after the other, into the cache; its arrays grow by doubling."""
-        first, self.words = self.words, self.words + len(words)
-        slot.update(zip(words, range(first, self.words), strict=True))
-        while self.words > len(self.at):
-            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.size[first : self.words] = sizes
-        self.at[first : self.words] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
-
     def _learn(self, words: list[str]) -> None:
         for lead in (" ", "\n"):
             new = [w for w in words if (w[:1] == "\n") == (lead == "\n")]
@@ -182,109 +180,86 @@ class WordEncoder:
             for g, ids in zip(groups, self._encode(joined), strict=True):
                 at = np.flatnonzero(self.starts[lead][ids])
                 if len(at) == len(g) and at[0] == 0:
-                    self._keep(self.slot, g, ids, np.diff(np.append(at, len(ids))))
+                    raw, cut = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
+                    self.later.update(zip(g, [raw[x:y] for x, y in zip(cut, cut[1:])], strict=True))
                 else:
-                    parts = self._encode([w if lead == "\n" else " " + w for w in g])
-                    self._keep(self.slot, g, np.concatenate(parts), np.array([len(x) for x in parts]))
+                    self.later.update(zip(g, [x.tobytes() for x in self._encode([w if lead == "\n" else " " + w for w in g])], strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, how many each has) of a string column; null counts as empty."""
         texts = pc.fill_null(texts, "")
         strings = texts.to_pylist()
         odd = np.array([_whole(t) for t in strings], bool)
-        whole = np.flatnonzero(odd)
         plain = pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n")
         split = pc.split_pattern(plain, " ")
         lo = split.offsets.to_numpy().astype(np.int64)
         lo -= lo[0]
         words = split.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        heads = [names[k] for k in words.indices.take(pa.array(lo[:-1])).to_pylist()]
-        if self.words + len(names) + len(heads) > CACHE:
-            self._clear()
-        self._learn([w for w in names if w not in self.slot])
+        names, at = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
+        heads = [names[k] for k in at[lo[:-1]].tolist()]
+        if len(self.later) + len(self.first) + len(names) > CACHE:
+            self.first.clear()
+            self.later.clear()
+        self._learn([w for w in names if w not in self.later])
         new = list({h for h in heads if h not in self.first})
-        if new:
-            parts = self._encode(new)
-            self._keep(self.first, new, np.concatenate(parts), np.array([len(x) for x in parts]))
-        slots = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))[words.indices.to_numpy()]
-        slots[lo[:-1]] = [self.first[h] for h in heads]
-        size = self.size[slots]
-        end = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.at[slots] - end[:-1], size) + np.arange(end[-1])]
+        self.first.update(zip(new, [x.tobytes() for x in self._encode(new)], strict=True))
+        at[lo[:-1]] = len(names) + np.arange(len(heads))
+        ids = pa.array([*map(self.later.__getitem__, names), *map(self.first.__getitem__, heads)], pa.large_binary()).take(pa.array(at))
+        end = np.frombuffer(ids.buffers()[1], np.int64, len(at) + 1) // 4 if len(at) else np.zeros(1, np.int64)
+        flat = np.frombuffer(ids.buffers()[2], "<u4", end[-1]) if end[-1] else np.zeros(0, np.uint32)
         counts = np.zeros(len(strings), np.int64)
         counts[~odd] = end[lo[1:]] - end[lo[:-1]]
+        whole = np.flatnonzero(odd)
         if not len(whole):
-            return ids, counts
+            return flat, counts
         apart = self._encode([strings[k] for k in whole])
         counts[whole] = [len(x) for x in apart]
         out = np.empty(counts.sum(), np.uint32)
         mine = np.repeat(odd, counts)
-        out[~mine], out[mine] = ids, np.concatenate(apart)
+        out[~mine], out[mine] = flat, np.concatenate(apart)
         return out, counts
 
 
-def encode_rows(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc long, h long, ids binary) of every row: its ids and the end id as little-endian integers of 2 bytes,
-    or of 4 where the row has an id that needs them (then ``wide``)."""
-
-    def make():
-        encoder = WordEncoder.of(tokenizer_path)
-
-        def f(batch):
-            ids, counts = encoder.encode(batch.column(2))
-            # the end id after each document
-            at = np.cumsum(counts)
-            ids = np.insert(ids, at, np.uint32(end_id))
-            end = np.cumsum(counts + 1)
-            top = np.maximum.reduceat(ids, end - counts - 1)
-            small, big = ids.astype("<u2"), ids.astype("<u4")
-            wide = top > 0xFFFF
-            rows = [(big if w else small)[x:y].tobytes() for w, x, y in zip(wide.tolist(), (end - counts - 1).tolist(), end.tolist(), strict=True)]
-            return pa.table([batch.column(0), batch.column(1), pa.array(wide), pa.array(rows, pa.binary())], names=["doc", "h", "wide", "ids"])
-
-        return f
-
-    # an id that very many rows share can be split: equal ids are ordered by a hash of the text
-    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    return map_rows(d, make, "doc long, h long, wide boolean, ids binary")
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
     """Encodes ``docs`` and writes the store at ``path``. tokenizer_path: a file that every executor has (the installed tokenizer).
-    Texts stay where they are: their ids, at two bytes each, are what is sorted by document."""
+    Texts are sorted by document before they are encoded: their ids would take as much room in the shuffle."""
     from pyspark import TaskContext
 
     def run(batches):
-        shard = TaskContext.get().partitionId()
-        segment = first = 0
-        ids: list = []
-        parts: list[np.ndarray] = []
-        held = 0
+        encoder, shard = WordEncoder.of(tokenizer_path), TaskContext.get().partitionId()
+        segment = first = held = 0
+        docs, sizes, parts = [], [], []
+        end = np.array([end_id], np.uint32)
 
         def close():
-            nonlocal segment, first, ids, parts, held
+            nonlocal segment, first, held, docs, sizes, parts
             flat = np.concatenate(parts)
             starts, data = pack_blocks(flat)
-            row = {"shard": [shard], "segment": [segment], "first": [first], "n": [len(flat)], "doc_ids": [ids], "lengths": [[len(p) for p in parts]], "starts": [starts.tolist()], "data": [data]}
-            segment, first, ids, parts, held = segment + 1, first + len(flat), [], [], 0
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], list(row))
+            row = [[shard], [segment], [first], [len(flat)], [docs], [sizes], [starts.tolist()], [data]]
+            segment, first, held, docs, sizes, parts = segment + 1, first + len(flat), 0, [], [], []
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc, wide, e in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids.append(doc)
-                parts.append(np.frombuffer(e, "<u4" if wide else "<u2").astype(np.uint32))
-                held += len(parts[-1])
-                if held >= SEGMENT_IDS:
-                    yield close()
-        if parts:
+            step = max(1, int(batch.num_rows * (12 << 20) / max(1, batch.nbytes)))
+            for i in range(0, batch.num_rows, step):
+                cut = batch.slice(i, step)
+                ids, counts = encoder.encode(cut.column(1))
+                at = 0
+                for doc, n in zip(cut.column(0).to_pylist(), counts.tolist(), strict=True):
+                    docs.append(doc)
+                    sizes.append(n + 1)
+                    parts += [ids[at : at + n], end]
+                    at, held = at + n, held + n + 1
+                    if held >= SEGMENT_IDS:
+                        yield close()
+        if docs:
             yield close()
 
-    rows = stored(encode_rows(docs, tokenizer_path, end_id, id_col, text_col), "ids")
+    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(n, "doc", "h").sortWithinPartitions("doc", "h").select("doc", "wide", "ids").mapInArrow(run, SCHEMA).write.parquet(path)
-    drop_stored(rows)
+    d = d.withColumn("h", F.xxhash64("text"))  # an id that very many rows share can be split
+    d.repartitionByRange(n, "doc", "h").sortWithinPartitions("doc", "h").select("doc", "text").mapInArrow(run, SCHEMA).write.parquet(path)
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
