@@ -15,7 +15,8 @@ each side, any other counts for both ends at once. Cells return counts and spann
 forests, never the pairs. A cell with many vectors is cut into chunks and its tiles are dealt to
 different tasks, so a hot cell or a large group of near copies does not sit in one.
 
-Vectors that are null, zero, or hold null or non-finite components link with nothing.
+Vectors that are null, zero, hold null or non-finite components or are of another length than most link with nothing.
+Beyond MAX_CODEWORDS**2 * PER_CELL vectors the grid stays as it is and cells grow with the input.
 """
 
 from __future__ import annotations
@@ -174,21 +175,24 @@ def _verify(grid, threshold: float):
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
-    """(id_col, n_links, component_id, kept) for every id of ``df``; rows with a null id are left out.
-    Rows that repeat an id count as one vector if equal and as separate vectors of one id if not."""
+    """(id_col, n_links, component_id, kept) for every id of ``df``; rows with a null id are left out, other columns ignored.
+    Rows that repeat an id count as one vector if equal and else as several vectors of one id: these share
+    its component, and n_links counts the links of each. An empty table gives an empty one."""
     spark = df.sparkSession
     v = usable(df, id_col, vec_col)
+    # by the largest component first, so that squares neither vanish nor overflow
+    v = v.withColumn("vec", F.transform("vec", lambda x: x / F.array_max(F.transform("vec", F.abs))))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     v = v.select("id", F.transform("vec", lambda x: x / norm).alias("vec"))
-    # exact copies (same direction): the smallest id stands for all
-    ids = stored(v.withColumn("copy", F.xxhash64("vec")), "unit")
-    alike = ids.groupBy("copy", "vec").agg(F.min("id").alias("rep"), F.countDistinct("id").cast("double").alias("w"))
-    reps = stored(alike.select(F.col("rep").alias("id"), "w", "vec"), "reps")
+    # exact copies (same direction) are one representative, numbered apart from the ids
+    ids = stored(v.distinct().withColumn("copy", F.xxhash64("vec")), "unit")
+    alike = ids.groupBy("copy", "vec").agg(F.count("*").cast("double").alias("w")).withColumn("rep", F.monotonically_increasing_id())
+    reps = stored(alike, "reps")
     rows = reps.count()
     everyone = df.select(F.col(id_col).cast("long").alias("doc")).filter("doc is not null").distinct()
     if rows == 0:
         return everyone.select(F.col("doc").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("doc").alias("component_id"), F.lit(True).alias("kept"))
-    grid = spark.sparkContext.broadcast(Grid(sample(reps, SAMPLE), rows, threshold))  # two codebooks of at most MAX_CODEWORDS
+    grid = spark.sparkContext.broadcast(Grid(sample(reps.select(F.col("rep").alias("id"), "vec"), SAMPLE, "vec"), rows, threshold))  # two codebooks of at most MAX_CODEWORDS
 
     def place():
         g = grid.value
@@ -201,7 +205,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
         return f
 
-    placed = stored(map_rows(reps, place, "id long, w double, vec array<double>, cell long, visits array<long>", max_bytes=2 << 20), "placed")
+    placed = stored(map_rows(reps.select(F.col("rep").alias("id"), "w", "vec"), place, "id long, w double, vec array<double>, cell long, visits array<long>", max_bytes=2 << 20), "placed")
     chunks = placed.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     m = placed.join(chunks, "cell").select("cell", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), F.lit(0).cast("byte").alias("kind"), "id", "w", F.col("cell").alias("home"), "vec")
     # a member meets every slice of visitors: as many slices as the visitors of a cell need
@@ -213,12 +217,15 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     tiles = m.unionByName(q).repartition(parts, "cell", "chunk", "slice").sortWithinPartitions("cell", "chunk", "slice", "kind")
     found = stored(tiles.mapInArrow(_verify(grid, threshold), "a long, b long, n long, edge boolean"), "found")
     links = found.filter("not edge").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    label = components(found.filter("edge").select("a", "b"))
-    of = ids.join(alike.select("copy", "vec", "rep", "w"), ["copy", "vec"]).select("id", "rep", "w")
-    per = of.join(links, "rep", "left").join(label, F.col("rep") == F.col("node"), "left").groupBy("id").agg(
-        F.sum(F.coalesce("n", F.lit(0)) + F.col("w") - 1).cast("long").alias("n_links"), F.min(F.coalesce("component", "rep")).alias("c"))
+    of = stored(ids.join(reps, ["copy", "vec"]).select("id", "rep", "w"), "of")
+    # the different vectors of one id hang together through it
+    same = of.join(of.groupBy("id").agg(F.min("rep").alias("b")), "id").filter("rep <> b").select(F.col("rep").alias("a"), "b")
+    label = components(found.filter("edge").select("a", "b").unionByName(same))
+    named = of.join(links, "rep", "left").join(label, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("c"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"))
+    low = named.groupBy("c").agg(F.min("id").alias("low"))
+    per = named.groupBy("id").agg(F.sum("n").cast("long").alias("n_links"), F.min("c").alias("c")).join(low, "c")
     out = stored(everyone.join(per, F.col("doc") == F.col("id"), "left").select(
-        F.col("doc").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "doc").alias("component_id")), "classes")
-    for t in (ids, reps, placed, found):
+        F.col("doc").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("low", "doc").alias("component_id")), "classes")
+    for t in (ids, reps, placed, found, of):
         drop_stored(t)
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))

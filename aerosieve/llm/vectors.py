@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id long, vec array<double>) of rows with an id and a vector that is not null, empty or
-    zero and holds no null or non-finite component."""
-    v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+def usable(df: DataFrame, id_col: str, vec_col: str, flag: Column | None = None) -> DataFrame:
+    """(id long, vec array<double>, and flag if given) of rows with an id and a vector that is not null, empty or
+    zero, holds no null or non-finite component and is as long as most of them (of equally frequent lengths the smaller)."""
+    v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), *([F.coalesce(flag, F.lit(False)).alias("flag")] if flag is not None else []))
     good = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0)
-    return v.filter(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
+    v = v.filter(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
+    length = v.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return v.filter(F.size("vec") == (length["n"] if length else 0))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -24,9 +26,9 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def sample(vectors: DataFrame, most: int) -> np.ndarray:
-    """At most ``most`` vectors, those with the smallest id hashes: the same in every run."""
-    t = vectors.orderBy(F.xxhash64("id"), "id").limit(most).select("vec").toArrow()
+def sample(vectors: DataFrame, most: int, by: str = "id") -> np.ndarray:
+    """At most ``most`` vectors, those with the smallest hashes of column ``by``: the same in every run."""
+    t = vectors.orderBy(F.xxhash64(by), "id").limit(most).select("vec").toArrow()
     return matrix(t["vec"]) if t.num_rows else np.empty((0, 0))
 
 

@@ -124,6 +124,62 @@ def test_nearest_isolated_vectors_and_copies(spark, monkeypatch):
     assert got == {i: 20 for i in range(3000, len(v))}
 
 
+def test_nearest_long_vector_copies_and_odd_rows(spark):
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((1000, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[7] *= 50
+    v[100:160] = v[100]  # copies
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(20, [1.0] * 3), (5000, [1e-200] * 16), (40, v[41].tolist()), (None, v[1].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("list", F.lit("x")).withColumn("id", F.lit(1)).withColumn("flag", F.lit(2)).withColumn("ask", F.col("vec_id") % 20 == 0)
+    got = vector_search.nearest(df, F.col("ask"), 20).toPandas()
+    assert (got.groupby("query_id").size() == 20).all() and got["query_id"].nunique() == 51
+    assert (got["vec_id"] != got["query_id"]).all() and not got.duplicated(["query_id", "vec_id"]).any()
+    # copies tie exactly and the smaller ids win
+    one = got[got["query_id"] == 100].sort_values("rank")
+    assert one["score"].nunique() <= 2 and one["vec_id"].tolist()[-19:] == sorted(one["vec_id"].tolist()[-19:])
+
+
+def test_nearest_opens_few_lists_where_data_have_clusters(spark):
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((200, 24))[rng.integers(0, 200, 10_000)] + rng.standard_normal((10_000, 24)) * 0.3
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = vector_search.nearest(df, F.col("vec_id") % 20 == 0, 20).toPandas()
+    s = v[::20] @ v.T
+    s[np.arange(500), np.arange(0, 10_000, 20)] = -np.inf
+    top = np.argsort(-s, axis=1)[:, :20]
+    found = got.groupby("query_id")["vec_id"].apply(set)
+    assert np.mean([len(set(t) & found[q * 20]) / 20 for q, t in enumerate(top)]) >= 0.95
+    assert got["scanned"].mean() < 0.3 * 10_000
+
+
+def test_nearest_recall_on_the_given_table(spark):
+    where = "/root/testdata/sf0.1"
+    v = {i: np.array(x, float) for i, x, *_ in table("embeddings", where) if x}
+    ids = np.array(sorted(v))
+    m = np.stack([v[i] for i in ids])
+    found = queries.QUERIES["op3_nearest_neighbours"](spark, where).toPandas().groupby("query_id")["vec_id"].apply(set)
+    asked = ids[ids % 20 == 0]
+    hit = []
+    for q in asked:
+        s = m @ v[q]
+        s[ids == q] = -np.inf
+        hit.append(len(found[q] & set(ids[np.argsort(-s)[:20]])) / 20)
+    assert len(found) == len(asked) and np.mean(hit) >= 0.95
+
+
+def test_embedding_dedup_odd_vectors(spark):
+    e = np.eye(4) + 0.0
+    near = lambda k: (e[k] + 0.1 * e[3]).tolist()
+    # an id with two vectors ties their components; tiny, huge and ragged vectors
+    rows = [(5, e[0].tolist()), (5, e[1].tolist()), (3, e[1].tolist()), (8, near(0)), (9, near(1)), (20, [1e-200, 0.0, 0.0, 0.0]), (21, [0.0, 0.0, 1e200, 1e200]), (22, [0.0, 0.0, 5e-324, 5e-324]), (30, [1.0, 2.0]), (31, []), (5, e[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rep", F.lit(1)).withColumn("copy", F.lit(1)).withColumn("w", F.lit(1))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got[3] == (2, 3, True) and got[9] == (2, 3, False) and got[8] == (2, 3, False) and got[20] == (2, 3, False)
+    assert got[5] == (4, 3, False)
+    assert got[21] == (1, 21, True) and got[22] == (1, 21, False) and got[30] == (0, 30, True) and got[31] == (0, 31, True)
+
+
 # ---- op4, op10
 
 def test_quality_and_toxicity_held_out(spark):
