@@ -20,10 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir). Only where it is
-    unset, as in local tests, a temporary folder takes its place and is set."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Only in local mode, where it may be
+    unset, a temporary folder takes its place and is set; elsewhere executors could not read each other's files."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp"))
         path = f"file://{_LOCAL[0]}"
@@ -121,7 +123,7 @@ def fold_of(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3, F.lit(0))
 
 
-def _labelled(labels: DataFrame, column: str) -> DataFrame:
+def labelled(labels: DataFrame, column: str) -> DataFrame:
     """(doc_id, column): one row per labelled id, held-out ids left out. An id with both labels counts as 1."""
     y = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & (fold_of() != 1))
     return y.groupBy("doc_id").agg(F.max(column).cast("int").alias(column))
@@ -129,12 +131,12 @@ def _labelled(labels: DataFrame, column: str) -> DataFrame:
 
 def label_counts(labels: DataFrame, column: str) -> dict[int, int]:
     """How many ids have label 0 and how many 1, all of those that :func:`label_sample` chooses from."""
-    return {0: 0, 1: 0} | {r[0]: r[1] for r in _labelled(labels, column).groupBy(column).count().collect()}
+    return {0: 0, 1: 0} | {r[0]: r[1] for r in labelled(labels, column).groupBy(column).count().collect()}
 
 
 def label_sample(labels: DataFrame, column: str, per_class: int) -> DataFrame:
     """(doc_id, column, mark): at most ``per_class`` ids with label 0 and as many with 1, held-out ids
     left out, the same ones in every run (smallest hashes). An id with both labels counts as 1."""
-    y = _labelled(labels, column).withColumn("mark", F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)))
+    y = labelled(labels, column).withColumn("mark", F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)))
     one = [y.filter(F.col(column) == k).orderBy("mark", "doc_id").limit(per_class) for k in (0, 1)]
     return one[0].unionByName(one[1])

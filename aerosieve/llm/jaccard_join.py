@@ -6,8 +6,10 @@ Two texts link when the Jaccard similarity of their sets of word n-grams reaches
 1. A count sketch of fixed size (2**20 counters, 4 MB at any input size) gives every n-gram
    a global rank: rare first, ties by hash. Any fixed rank keeps the next step exact.
 2. Prefix rule: of a set of n, the first ``n - ceil(t n) + 1`` n-grams by rank
-   must meet those of any set it links with; how often is known from both sizes. Texts that
-   meet often enough form blocks (components). An n-gram in the prefixes of
+   must meet those of any set it links with; how often is known from both sizes. A sketch that is full for a large input
+   ranks poorly, so prefixes are taken twice: n-grams counted (exactly, by a shuffle of prefixes only) in the prefixes of more than
+   SHORT_RUN texts are marked in a bitmap of fixed size and moved behind all others, and texts that had any get new prefixes. Texts that
+   meet often enough form blocks (components). An n-gram that is still in the prefixes of
    many texts ties them to one of them, so no group is expanded into its pairs. Exact
    copies in a task are collapsed before anything is shuffled.
 3. Only members of blocks are read again. A block is cut into chunks of bounded
@@ -28,8 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHasher, drop_stored, map_rows, mix, ngram_hashes, stored, texts
@@ -39,8 +40,9 @@ SKETCH_BITS = 20
 SLICES = 64
 #: n-grams in a chunk of a block: bounds the memory of a tile (8 bytes each, and bitmaps).
 CHUNK_NGRAMS = 1_500_000
-CHUNK_SETS = 4_096
-FILTER_BITS = 24
+CHUNK_SETS = 2_048
+#: Bitmaps of documents (2 MB) and of common n-grams (16 MB).
+FILTER_BITS, COMMON_BITS = 24, 27
 #: Up to so many documents with one n-gram in their prefixes, their pairs are counted.
 SHORT_RUN = 16
 
@@ -70,9 +72,10 @@ def _sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
         hasher, counts = WordHasher(), np.zeros(size, np.int64)
 
         def f(batch):
-            sets = [ngram_set(t.lower().split(), n, hasher) for t in texts(batch.column(0))]
-            if sets:
-                np.add.at(counts, np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), 1)
+            words = [hasher.hashes(w) for t in texts(batch.column(0)) if (w := t.lower().split())]
+            if words:  # a repeated n-gram counts more than once here: a rank needs no better
+                h = np.concatenate([ngram_hashes(w, min(n, len(w))) for w in words])
+                counts[:] += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
             hasher.trim()
 
         def finish():
@@ -97,11 +100,46 @@ def _sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
     return out
 
 
-def _prefixes(docs: DataFrame, id_: str, text: str, n: int, percent: int, sketch) -> DataFrame:
-    """kind 0: (doc, n of its set); kind 1: exact copy ``doc`` of ``key``; kind 2: n-gram ``key`` in the prefix of ``doc``."""
+def _bits_of(column: pa.Array, marked: np.ndarray) -> np.ndarray:
+    """Which positions of a column are set in a bitmap."""
+    k = column.to_numpy(zero_copy_only=False).astype(np.int64)
+    return ((marked[k >> 3] >> (k & 7)) & 1).astype(bool)
+
+
+def _bitmap_by_spark(rows: DataFrame, position: Column, bits: int) -> np.ndarray:
+    """Bitmap of 2**bits positions of a column, built page by page in Spark: at most 2**bits / 32768 rows of 4 KB reach the driver."""
+    h = rows.select((position + 1).alias("h")).select("h", F.bitmap_bucket_number("h").alias("page")).repartition("page")
+    pages = h.groupBy("page").agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    for r in pages:
+        table[(r["page"] - 1) * 4096 : r["page"] * 4096] = np.frombuffer(r["bits"], np.uint8)[: len(table)]
+    return table
+
+
+def _doc_bit(doc: Column) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(1 << FILTER_BITS))
+
+
+def _with_bit(rows: DataFrame, position: Column, marked, want: bool) -> DataFrame:
+    """Rows whose position is set (or not) in a broadcast bitmap."""
 
     def make():
-        hasher, seen, counts = WordHasher(), {}, sketch.value
+        m = marked.value
+
+        def f(batch):
+            return batch.filter(pa.array(_bits_of(batch.column(batch.num_columns - 1), m) == want))
+
+        return f
+
+    d = rows.withColumn("_bit_", position)
+    return map_rows(d, make, ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in d.schema.fields)).drop("_bit_")
+
+
+def _prefixes(docs: DataFrame, id_: str, text: str, n: int, percent: int, sketch, common=None) -> DataFrame:
+    """By rank in the sketch, those in the bitmap ``common`` behind all others. kind 0: (doc, n of its set); kind 1: exact copy ``doc`` of ``key``; kind 2: n-gram ``key`` in the prefix of ``doc``."""
+
+    def make():
+        hasher, seen, counts, late = WordHasher(), {}, sketch.value, common and common.value
 
         def f(batch):
             ids = batch.column(0).to_pylist()
@@ -124,6 +162,9 @@ def _prefixes(docs: DataFrame, id_: str, text: str, n: int, percent: int, sketch
                     continue
                 whole = len(s)
                 rank = counts[s >> np.uint64(64 - SKETCH_BITS)]
+                if late is not None:
+                    k = s >> np.uint64(64 - COMMON_BITS)
+                    rank = rank + (((late[k >> np.uint64(3)] >> (k & np.uint64(7)).astype(np.uint8)) & 1).astype(np.int64) << 40)
                 p = prefix_length(len(s), percent)
                 if p < len(s):
                     cut = np.partition(rank, p - 1)[p - 1]
@@ -346,23 +387,40 @@ def _tiles(n: int, percent: int):
     return run
 
 
+def find_blocks(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> dict[str, DataFrame]:
+    """Stored tables: rows and anew (sizes and copies, see :func:`_prefixes`), meet (a, b) and block (node, component)."""
+    spark = docs.sparkSession
+    sketch = spark.sparkContext.broadcast(_sketch(docs, text_col, n))
+    rows = stored(_prefixes(docs, id_col, text_col, n, percent, sketch), "prefix")
+    prefix = rows.filter("kind = 2").select("key", "size", "doc")
+    # n-grams common in prefixes go behind all others; texts that had one get new prefixes, those of the rest stay as they are
+    often = prefix.groupBy("key").count().filter(F.col("count") > SHORT_RUN).select("key")
+    at = F.shiftrightunsigned("key", 64 - COMMON_BITS)
+    common = spark.sparkContext.broadcast(_bitmap_by_spark(often, at, COMMON_BITS))
+    touched = _with_bit(prefix.select("key", "doc"), at, common, True).select("doc").distinct()
+    again = spark.sparkContext.broadcast(_bitmap_by_spark(touched, _doc_bit(F.col("doc")), FILTER_BITS))
+    anew = stored(_prefixes(_with_bit(docs, _doc_bit(F.col(id_col)), again, True), id_col, text_col, n, percent, sketch, common), "anew")
+    prefix = _with_bit(prefix, _doc_bit(F.col("doc")), again, False).unionByName(anew.filter("kind = 2").select("key", "size", "doc"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = prefix.repartition(parts, "key").sortWithinPartitions("key", "size", "doc")
+    meet = shared.mapInArrow(_meetings(percent), "a long, b long, need int").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    meet = stored(meet.filter("n >= need").select("a", "b"), "meet")
+    return {"rows": rows, "anew": anew, "meet": meet, "block": stored(components(meet), "block")}
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """(id_col, n_shingles, component_id) for every id of ``docs``.
 
     Repeated ids: all rows of an id count as one document, the widest set's
-    size is given and their links are pooled. Other columns are ignored.
+    size is given and their links are pooled. Other columns are ignored. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).filter(F.col(id_col).isNotNull())
-    sketch = spark.sparkContext.broadcast(_sketch(docs, text_col, n))
-    rows = stored(_prefixes(docs, id_col, text_col, n, percent, sketch), "prefix")
+    found = find_blocks(docs, id_col, text_col, n, percent)
+    rows, block = found["rows"], found["block"]
     sizes = rows.filter("kind = 0").select("doc", "size")
-    copies = rows.filter("kind = 1").select(F.col("doc").alias("a"), F.col("key").alias("b"))
+    copies = rows.unionByName(found["anew"]).filter("kind = 1").select(F.col("doc").alias("a"), F.col("key").alias("b"))
     parts = spark.conf.get("spark.sql.shuffle.partitions")
-    shared = rows.filter("kind = 2").select("key", "size", "doc").repartition(int(parts), "key").sortWithinPartitions("key", "size", "doc")
-    meet = shared.mapInArrow(_meetings(percent), "a long, b long, need int").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
-    meet = stored(meet.filter("n >= need").select("a", "b"), "meet")
-    block = stored(components(meet), "block")
 
     # chunks of bounded weight in every block; the hash spreads sizes evenly over the chunks
     members = block.join(sizes.groupBy("doc").agg(F.max("size").alias("size")).withColumnRenamed("doc", "node"), "node")
@@ -375,28 +433,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.least("chunk", k).alias("x"), F.greatest("chunk", k).alias("y"),
             F.when(F.col("chunk") <= k, 0).otherwise(1).alias("side")))).alias("t")).select("node", "component", "t.*")
 
-    # only texts of block members are shuffled: a bitmap of fixed size (2 MB) drops nearly all others at the scan
-    bits = 1 << FILTER_BITS
-    hashed = block.select((F.pmod(F.xxhash64("node"), F.lit(bits)) + 1).alias("h"))
-    pages = hashed.groupBy(F.bitmap_bucket_number("h").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
-    table = np.zeros(bits // 8, np.uint8)
-    for r in pages:  # 2**FILTER_BITS / 32768 rows of 4 KB at most
-        table[(r["page"] - 1) * 4096 : r["page"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    marked = spark.sparkContext.broadcast(table)
-
-    def likely():
-        m = marked.value
-
-        def f(batch):
-            k = batch.column(2).to_numpy()
-            keep = (m[k >> 3] >> (k & 7)) & 1
-            return batch.filter(pa.array(keep.astype(bool)))
-
-        return f
-
-    texts_in = map_rows(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"),
-                                    F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(bits)).alias("k")).filter("doc is not null"),
-                        likely, "doc long, text string, k long").drop("k")
+    # only texts of block members are shuffled: a bitmap of fixed size drops nearly all others at the scan
+    members = spark.sparkContext.broadcast(_bitmap_by_spark(block, _doc_bit(F.col("node")), FILTER_BITS))
+    texts_in = _with_bit(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), _doc_bit(F.col("doc")), members, True)
     todo = texts_in.join(tiles, texts_in["doc"] == tiles["node"]).select("component", "x", "y", "side", "doc", "text")
     todo = todo.repartition(int(parts), "component", "x", "y").sortWithinPartitions("component", "x", "y", "side")
     links = todo.mapInArrow(_tiles(n, percent), "a long, b long")
@@ -406,7 +445,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
            .join(label, F.col("doc") == F.col("node"), "left")
            .select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id")))
     out = stored(out, "classes")
-    for t in (rows, meet, block, edges):
+    for t in (*found.values(), edges):
         drop_stored(t)
     return out
 

@@ -1,16 +1,19 @@
 """Operator 4: importance resampling with hashed n-gram models.
 
 Two bag-of-n-gram models over BUCKETS hashed features: one of target text (rows labelled
-good) and one of all raw text. A document's log weight is SCALE times the mean over its
-n-grams of log(p_target / p_raw); the mean keeps long and short texts comparable.
+good) and one of all raw text. A document's log weight is the sum over its n-grams of
+log(p_target / p_raw), the log ratio of the two models for the whole text, divided by ``temperature`` (1: the models' own
+ratio; larger ones let the draw stray further from it).
 Documents are sampled without replacement by Gumbel top-k: the k largest of
-log weight + Gumbel noise, noise from a hash of the id, so reruns agree.
+log weight + Gumbel noise, noise from a hash of the id and the seed, so reruns agree. A document is thus drawn
+with a probability in proportion to its weight among those not drawn yet.
 
-k is the number of documents whose weight passes the cut that parts rows labelled good and bad best;
-``fraction`` sets it outright instead. The k-th key is found exactly by refined histograms, not by a global sort.
+k is ``fraction`` of the rows; if not given, the share of good rows among the labelled ones that are here.
+The k-th key is found exactly by refined histograms, not by a global sort.
 
-Raw counts cover every text. Target counts take at most MAX_ROWS good rows, chosen by hash of the id. Null and empty texts have no n-grams and log weight
-0. Rows with a null id share one noise value.
+Raw counts cover every text, whole. Target counts take at most MAX_ROWS good rows, chosen by hash of the id. Null and empty texts have no n-grams and log weight
+0. Rows with one id, or a null one, share one noise value; equal rows (id and text) are drawn together, so k can be passed by these.
+Ties go to the smaller id. Columns named like those made here don't clash. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,17 +22,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, drop_stored, label_sample, map_rows, mix, stored, texts
+from .common import WordHasher, label_sample, labelled, map_rows, mix, stored, texts
 
 BUCKETS = 1 << 16
 SLICES = 16
-SCALE = 64.0
-WEIGHT, KEY = "_log_weight_", "_key_"  # names that don't clash with kept columns
+WEIGHT, KEY, LABEL, LABEL_ID = "_log_weight_", "_key_", "_good_", "_label_id_"  # names that don't clash with kept columns
 MAX_ROWS = 30_000
-MAX_CUT_ROWS = 20_000
 TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]")
 _SAME = np.uint64(0x5A5A5A5A5A5A5A5A)
 
@@ -87,7 +88,7 @@ def log_ratios(counts: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     return np.log((target + smooth * BUCKETS * share) / (target.sum() + smooth * BUCKETS) / share).astype(np.float32)
 
 
-def _weights(docs: DataFrame, ratio, keep: list[str], text_col: str) -> DataFrame:
+def _weights(docs: DataFrame, ratio, keep: list[str], text_col: str, temperature: float) -> DataFrame:
     def make():
         hasher, r = WordHasher(), ratio.value
 
@@ -96,7 +97,7 @@ def _weights(docs: DataFrame, ratio, keep: list[str], text_col: str) -> DataFram
             for i, t in enumerate(texts(batch.column(len(keep)))):
                 k = features(t, hasher)
                 if len(k):
-                    out[i] = SCALE * r[k].mean(dtype=np.float64)
+                    out[i] = r[k].sum(dtype=np.float64) / temperature
             hasher.trim()
             return pa.table([*(batch.column(i) for i in range(len(keep))), pa.array(out)], names=[*keep, WEIGHT])
 
@@ -107,16 +108,6 @@ def _weights(docs: DataFrame, ratio, keep: list[str], text_col: str) -> DataFram
     return map_rows(d, make, schema)
 
 
-def best_cut(weight: np.ndarray, good: np.ndarray) -> float:
-    """The weight that parts good from bad with the fewest errors, a lost good row counting as two;
-    midway between the rows around it."""
-    order = np.argsort(weight, kind="stable")
-    w, g = weight[order], good[order].astype(float)
-    loss = np.concatenate([[0], np.cumsum(2 * g)]) + np.concatenate([np.cumsum((1 - g)[::-1])[::-1], [0]])
-    i = int(loss.argmin())
-    return float(-np.inf if i == 0 else np.inf if i == len(w) else (w[i - 1] + w[i]) / 2)
-
-
 def top_k_key(keys: DataFrame, k: int, id_col: str, bins: int = 4096) -> tuple[float, int | None]:
     """Exact k-th largest ``key``: (key, id) such that the k rows are those above key, and those
     equal to it with an id up to the given one."""
@@ -142,27 +133,30 @@ def top_k_key(keys: DataFrame, k: int, id_col: str, bins: int = 4096) -> tuple[f
     return last["key"], last[id_col]
 
 
-def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str):
-    """(label sample, broadcast log ratios)."""
+def gumbel(id_col: Column, seed: Column) -> Column:
+    """Standard Gumbel noise from a hash of the id and the seed."""
+    return -F.log(-F.log((F.pmod(F.xxhash64(id_col, seed), F.lit(1 << 52)) + 0.5) / float(1 << 52)))
+
+
+def _keyed(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str, text_col: str, seed: int, temperature: float) -> DataFrame:
+    """``keep`` with WEIGHT and KEY for every row, stored."""
     # at most 2 * MAX_ROWS labels, so the broadcast is bounded
-    y = F.broadcast(label_sample(labels, "quality", MAX_ROWS).withColumnRenamed("doc_id", "y_id"))
-    counts = _count(docs.join(y, docs[id_col] == y["y_id"], "left").select(docs[text_col], "quality"))
-    return y, docs.sparkSession.sparkContext.broadcast(log_ratios(counts))
+    y = F.broadcast(label_sample(labels, "quality", MAX_ROWS).select(F.col("doc_id").alias(LABEL_ID), F.col("quality").alias(LABEL)))
+    counts = _count(docs.join(y, docs[id_col] == y[LABEL_ID], "left").select(docs[text_col], LABEL))
+    ratio = docs.sparkSession.sparkContext.broadcast(log_ratios(counts))
+    weighed = _weights(docs, ratio, keep, text_col, temperature)
+    return stored(weighed.withColumn(KEY, F.col(WEIGHT) + gumbel(F.col(id_col), F.lit(seed))), "weights")
 
 
-def _keyed(docs: DataFrame, ratio, keep: list[str], id_col: str, text_col: str, seed: int) -> DataFrame:
-    noise = -F.log(-F.log((F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)))
-    return _weights(docs, ratio, keep, text_col).withColumn(KEY, F.col(WEIGHT) + noise)
+def good_share(ids: DataFrame, labels: DataFrame, id_col: str) -> float:
+    """Share of good ones among the labelled ids (held-out ones left out) that are in ``ids``; 1 without any."""
+    y = labelled(labels, "quality")
+    return y.join(ids.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi").agg(F.coalesce(F.avg("quality"), F.lit(1.0))).first()[0]
 
 
-def _drawn(keys: DataFrame, y: DataFrame, id_col: str, fraction: float | None):
+def _drawn(keys: DataFrame, labels: DataFrame, id_col: str, fraction: float | None) -> Column:
     """Condition on (KEY, id_col) that holds for the k drawn rows."""
-    if fraction is None:
-        sample = keys.join(y, keys[id_col] == y["y_id"]).orderBy("mark", "y_id").limit(MAX_CUT_ROWS).select(WEIGHT, "quality").toPandas()
-        cut = best_cut(sample[WEIGHT].to_numpy(), sample["quality"].to_numpy() == 1) if sample["quality"].nunique() == 2 else -np.inf
-        k = keys.filter(F.col(WEIGHT) > float(cut)).count()
-    else:
-        k = round(fraction * keys.count())
+    k = round((good_share(keys, labels, id_col) if fraction is None else fraction) * keys.count())
     if k == 0:
         return F.lit(False)
     key, last = top_k_key(keys.select(F.col(KEY).alias("key"), id_col), k, id_col)
@@ -170,21 +164,17 @@ def _drawn(keys: DataFrame, y: DataFrame, id_col: str, fraction: float | None):
     return (F.col(KEY) > key) | ((F.col(KEY) == key) & tie)
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float | None = None, seed: int = 4) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float | None = None, seed: int = 4, temperature: float = 1.0) -> DataFrame:
     """(id_col, log_weight, key, kept) for every row of ``docs``.
 
     labels: (doc_id, quality 0/1); held-out ids are left out here. Without good rows the
-    weights are 0; without a fraction and with only one kind of label everything is kept.
+    weights are 0; without a fraction and any labelled row everything is kept.
     """
-    y, ratio = _fit(docs, labels, id_col, text_col)
-    keys = stored(_keyed(docs, ratio, [id_col], id_col, text_col, seed), "weights")
-    return keys.select(id_col, F.col(WEIGHT).alias("log_weight"), F.col(KEY).alias("key"), _drawn(keys, y, id_col, fraction).alias("kept"))
-
-
-def resample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float | None = None, seed: int = 4) -> DataFrame:
-    """The drawn rows of ``docs``, all columns. Weights are computed again beside the rows, so texts aren't shuffled."""
-    y, ratio = _fit(docs, labels, id_col, text_col)
-    keys = stored(_keyed(docs, ratio, [id_col], id_col, text_col, seed), "weights")
-    drawn = _drawn(keys, y, id_col, fraction)
-    drop_stored(keys)
-    return _keyed(docs, ratio, docs.columns, id_col, text_col, seed).filter(drawn).select(docs.columns)
+    keys = _keyed(docs, labels, [id_col], id_col, text_col, seed, temperature)
+    return keys.select(id_col, F.col(WEIGHT).alias("log_weight"), F.col(KEY).alias("key"), _drawn(keys, labels, id_col, fraction).alias("kept"))
+
+
+def resample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float | None = None, seed: int = 4, temperature: float = 1.0) -> DataFrame:
+    """The drawn rows of ``docs``, all columns. Rows are stored with their weights, so texts are neither shuffled nor weighed twice."""
+    keys = _keyed(docs, labels, docs.columns, id_col, text_col, seed, temperature)
+    return keys.filter(_drawn(keys, labels, id_col, fraction)).select(docs.columns)

@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aerosieve.llm import components as comp
@@ -188,7 +189,7 @@ def test_quality_and_toxicity_held_out(spark):
     kept = {r["doc_id"]: r["kept"] for r in queries.QUERIES["op4_quality_classifier"](spark, where).collect()}
     held = [d for d in labels if zlib.crc32(str(d).encode()) % 3 == 1]
     good, bad = [d for d in held if labels[d][0] == 1], [d for d in held if labels[d][0] == 0]
-    assert np.mean([kept[d] for d in good]) > 0.99 and np.mean([kept[d] for d in bad]) < 0.05
+    assert np.mean([kept[d] for d in good]) > 0.98 and np.mean([kept[d] for d in bad]) < 0.05
     tox = {r["doc_id"]: r for r in queries.QUERIES["op10_toxicity"](spark, where).collect()}
     assert len(tox) == len(kept) and all(tox[d]["held_out"] for d in held)
     assert np.mean([tox[d]["predicted"] for d in held if labels[d][1] == 1]) > 0.55
@@ -208,6 +209,40 @@ def test_quality_exact_top_k(spark):
     assert quality.resample(docs.limit(0), labels).count() == 0 and quality.resample(docs, labels.limit(0)).filter("kept").count() == 504
 
 
+def test_quality_draws_in_proportion_to_weights(spark):
+    w = np.arange(1, 9.0)
+    rows = spark.range(8 * 6000).selectExpr("id % 8 as id", "id div 8 as seed", "ln(id % 8 + 1.0) as w")
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("key")))
+    drawn = rows.withColumn("key", F.col("w") + quality.gumbel(F.col("id"), F.col("seed"))).withColumn("rank", rank).filter("rank <= 3")
+    got = {r["id"]: r["count"] / 6000 for r in drawn.groupBy("id").count().collect()}
+    rng = np.random.default_rng(0)
+    want = np.bincount(np.concatenate([rng.choice(8, 3, replace=False, p=w / w.sum()) for _ in range(20_000)]), minlength=8) / 20_000
+    assert all(abs(got[i] - want[i]) < 0.025 for i in range(8))
+
+
+def test_quality_weights_against_brute_force(spark):
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice(["good", "fine", "text"] if i % 3 else ["buy", "now", "text"]) for _ in range(rng.randrange(9)))) for i in range(60)]
+    labels = [(i, int(i % 3 > 0)) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("quality", F.lit(7)).withColumn("_text_x", F.lit(1))
+    seen = {seed: quality.resample(df, spark.createDataFrame(labels, "doc_id long, quality int"), fraction=0.5, seed=seed).toPandas().set_index("doc_id") for seed in (1, 2)}
+    f = lambda t: quality.features(t.encode(), quality.WordHasher())
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in docs:
+        raw.update(f(t).tolist())
+        if i < 40 and i % 3 and zlib.crc32(str(i).encode()) % 3 != 1:
+            target.update(f(t).tolist())
+    total, good, b = sum(raw.values()), sum(target.values()), quality.BUCKETS
+    share = {k: (n + 1) / (total + b) for k, n in raw.items()}
+    for i, t in docs:
+        want = sum(np.log((target[k] + b * share[k]) / (good + b) / share[k]) for k in f(t).tolist())
+        assert seen[1].loc[i, "log_weight"] == pytest.approx(want, abs=1e-4)
+    assert seen[1]["kept"].sum() == seen[2]["kept"].sum() == 30 and (seen[1]["kept"] != seen[2]["kept"]).any()
+    # some rows below the 30th weight are drawn: the noise decides
+    by_weight = seen[1]["log_weight"].rank(ascending=False, method="first") <= 30
+    assert (by_weight != seen[1]["kept"]).any()
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(i, "you utter scum " * 3 if i % 4 == 0 else f"a calm note number {i}") for i in range(200)] + [(900, None), (901, ""), (None, "word " * 60_000), (1, "twice")], "doc_id long, text string").withColumn("score", F.lit("x"))
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
@@ -275,6 +310,27 @@ def test_jaccard_odd_tables(spark):
     assert jaccard_join.one_of_each(df).count() == 3
 
 
+def test_jaccard_blocks_stay_small_with_a_full_sketch(spark, monkeypatch):
+    # 4,096 counters for these tables are as full as 2**20 for some 250 times as many texts
+    monkeypatch.setattr(jaccard_join, "SKETCH_BITS", 12)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    blocks = jaccard_join.find_blocks(docs, "doc_id", "text", 4, 85)
+    largest = blocks["block"].groupBy("component").count().agg(F.max("count")).first()[0]
+    assert largest < 50
+
+
+def test_jaccard_exact_with_a_full_sketch(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SKETCH_BITS", 6)
+    monkeypatch.setattr(jaccard_join, "SHORT_RUN", 3)
+    monkeypatch.setattr(jaccard_join, "CHUNK_SETS", 8)
+    docs = [(d, t) for d, t, *_ in table("documents", SMALL)]
+    rng = random.Random(5)
+    shared = " ".join(f"p{k}" for k in range(60))
+    docs += [(10_000 + i, shared + " " + " ".join(f"q{rng.randrange(10)}" for _ in range(rng.randrange(1, 20)))) for i in range(120)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_classes(docs, 4, 85)
+
+
 def test_signature_tree_equals_all_pairs():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(120)]
