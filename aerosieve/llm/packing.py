@@ -13,7 +13,7 @@ and clusters, and the successor search walks up from the smallest sufficient res
 allow the document; else a new bin is opened.
 
 Null or empty texts have length 1. A null source is a source of its own. Repeated ids are separate
-documents of one shard; equal texts are one cluster unless ``cluster_col`` is given, and a null cluster conflicts with none.
+documents, equal rows too: these are dealt over all shards. An empty table gives an empty one; other columns are ignored. Equal texts are one cluster unless ``cluster_col`` is given, and a null cluster conflicts with none.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from .common import drop_stored, map_rows, stored
 
 #: A shard holds about so many bins, and about so many documents at most.
 SHARD_BINS, SHARD_DOCS = 512, 4_096
+BLOCK = 65_536
 
 
 def best_fit(items: list[tuple[int, object, object]], capacity: int, per_source: int) -> list[tuple[int, int]]:
@@ -98,8 +99,11 @@ def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 4, id_col: str
     total, count = d.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
     shards = max(1, -(-total // (capacity * SHARD_BINS)), -(-count // SHARD_DOCS))
     id_type = d.schema["id"].dataType.simpleString()
-    # an id may repeat in very many rows: text and length take part in the deal
-    dealt = d.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", "length"), F.lit(shards)).cast("long"))
+    # equal rows may be very many: they are counted, numbered in blocks, and their number takes part in the deal
+    row = ["id", "source", "cluster", "length"]
+    blocks = d.groupBy(*row).agg(F.count("*").alias("n")).select(*row, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(BLOCK))).alias("first"))
+    each = blocks.select(*row, F.explode(F.sequence("first", F.least("n", F.col("first") + BLOCK) - 1)).alias("copy"))
+    dealt = each.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", "length", "copy"), F.lit(shards)).cast("long")).drop("copy")
 
     def group(pdf):
         import pandas as pd

@@ -17,7 +17,7 @@ from .quality import resample
 from .sentencepiece_unigram import round_trip
 from .token_blocks import token_index, write_tokens
 from .toxicity import score_toxicity
-from .url_filter import judge_urls
+from .url_filter import judge_urls, labelled_urls
 from .vector_search import nearest
 
 
@@ -36,7 +36,8 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+    labelled = spark.createDataFrame(labelled_urls(), "url string, label int")
+    return judge_urls(read(spark, sf_dir, "pages"), URL_RULES, labelled)
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,7 +128,11 @@ class Pieces:
                 d = dict(_fields(v))
                 pieces.append((d[1].decode(), struct.unpack("<f", d.get(2, bytes(4)))[0], d.get(3, NORMAL)))
             elif field == 3:
-                prefix = bool(dict(_fields(v)).get(3, 1))
+                rules = dict(_fields(v))
+                prefix = bool(rules.get(3, 1))
+                # what is not rebuilt here must not be mis-encoded silently
+                if rules.get(2) or rules.get(4, 1) or not rules.get(5, 1):
+                    raise ValueError("only models without a character map and without removal of extra white space are read")
         bytes_at = np.full(256, -1, np.int64)
         texts = []
         for k, (p, _, kind) in enumerate(pieces):

@@ -37,7 +37,7 @@ from .common import map_rows
 BLOCK = 1024
 PERCENTILE = 90
 SEGMENT_IDS = 1 << 18
-CACHE = 1_200_000
+CACHE = 800_000
 SCHEMA = "shard int, segment int, first long, n long, doc_ids array<long>, lengths array<long>, starts array<int>, data binary"
 #: White space other than space and newline.
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]

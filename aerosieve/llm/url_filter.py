@@ -3,10 +3,11 @@
 Rules decide first: a rule is a host and a path start (``org/es/``); it fits its host and
 all subdomains where the URL's path starts with its own, and the longest fitting rule wins. Where none fits, a
 logistic regression on hashed character n-grams of host and path decides. It is trained
-from a small labelled URL table of at most MAX_TRAIN rows.
+from a small labelled URL table of at most MAX_TRAIN rows; LABELLED_WORDS is one, written out by :func:`labelled_urls`.
 
 Host and path are cut with SQL functions. A null URL, or one without ``://``, has both empty and so
-only the model's bias as evidence. Without rows of both labels the model allows everything.
+only the model's bias as evidence. Without rows of both labels the model allows everything. Repeated rows are all judged,
+very long URLs whole; an empty table gives an empty one, and other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +25,30 @@ MAX_TRAIN = 20_000
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
+# Words of hosts that a crawl blocks (1) or allows (0).
+LABELLED_WORDS = {
+    1: ["adult", "adult-x", "xxx", "porn", "sex-cam", "escort", "casino", "casino-win", "online-casino", "poker", "slots", "jackpot", "free-bets", "bets", "betting", "sportsbook", "lottery-win", "cheap-pills", "pills", "viagra", "pharma-deal", "weight-loss-fast", "replica-watch", "spam", "spam-farm", "link-farm", "seo-links", "ads", "ads-track", "ad-server", "click-track", "popads", "tracker", "payday-loan", "fast-cash", "get-rich", "crypto-double", "warez", "crack-keygen", "free-download-full", "malware", "phish-login"],
+    0: ["news", "daily-post", "university", "library", "museum", "school", "science", "physics-lab", "history", "garden", "recipes", "cooking", "travel", "weather", "city-council", "hospital", "health-info", "wiki", "docs", "manual", "python", "code", "forum", "journal", "review", "books", "poetry", "music", "film", "theatre", "sports-club", "football", "chess", "maps", "transport", "railway", "farm-shop", "village", "church", "charity", "research", "data", "statistics", "economy", "law", "parliament", "art", "design", "photo", "nature", "birds", "ocean", "mountain", "camera", "house", "family", "letters", "winter", "address", "trackside", "better", "alphabet"],
+}
+#: Syllables of invented host names, which are allowed: a name that says nothing is no reason to block.
+SYLLABLES = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "ch", "ung", "ment", "ci", "que"]
+WHERE = ["", "www.", "blog.", "m."]
+DOMAINS = ["com", "net", "org", "example.com", "example.net", "example.org", "de", "fr"]
+PATHS = ["/", "/en/{}", "/de/{}.html", "/fr/{}/", "/index.html", "/a/{}?x=1", "/es/{}#top", ""]
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """(url, label 1 block / 0 allow): every word with each kind of domain, and invented names."""
+    out, k = [], 0
+    names = [(w, y) for y in (1, 0) for w in LABELLED_WORDS[y]]
+    names += [(a + SYLLABLES[(3 * i + j) % len(SYLLABLES)] + SYLLABLES[(7 * i + 5 * j) % len(SYLLABLES)], 0) for i, a in enumerate(SYLLABLES) for j in range(6)]
+    for name, y in names:
+        for d in DOMAINS:
+            k += 1
+            out.append((f"http://{WHERE[k % 4]}{name}.{d}" + PATHS[(k // 4 + k) % len(PATHS)].format(k * 37 % 10_007), y))
+    return out
+
+
 def host_of(url: str | Column) -> Column:
     """After the first :// up to /, ?, # or the end; only A-Z are lower-cased."""
     h = F.coalesce(F.regexp_extract(url, _PARTS, 1), F.lit(""))

@@ -60,6 +60,39 @@ def test_url_model_learns(spark):
     assert np.mean([(r["verdict"] == "block") == bool(r["page_id"] % 2) for r in got]) > 0.95
 
 
+def test_url_labelled_table_held_out():
+    rows = url_filter.labelled_urls()
+    parts = [(u.split("://")[1].partition("/")[0], "/" + u.split("://")[1].partition("/")[2], y) for u, y in rows]
+    fit, rest = [p for i, p in enumerate(parts) if i % 5], [p for i, p in enumerate(parts) if i % 5 == 0]
+    w, b = url_filter.train([p[0] for p in fit], [p[1] for p in fit], np.array([p[2] for p in fit], float))
+    score = lambda h, p: (w[k := url_filter.url_features(h, p)].sum() / max(1, len(k)) ** 0.5 + b) >= 0
+    assert np.mean([score(h, p) == bool(y) for h, p, y in rest]) > 0.97
+
+
+def test_url_query_blocks_and_allows(spark):
+    hosts = ["adult-x.example.com", "www.spam-farm.example.org", "m.casino-online.example.net", "blog.tionsh.example.com", "ththble.example.com", "www.thesea.example.org"]
+    df = spark.createDataFrame([(i, f"http://{h}/fr/{i}{'x' * (i // 3 * 50_000)}") for i, h in enumerate(hosts)] * 2, "page_id int, url string").withColumn("host", F.lit(1)).withColumn("rule", F.lit(2)).withColumn("label", F.lit(0))
+    labelled = spark.createDataFrame(url_filter.labelled_urls(), "url string, label int")
+    got = url_filter.judge_urls(df, queries.URL_RULES, labelled).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got][::2] == ["block"] * 3 + ["allow"] * 3 and len(got) == 12
+
+
+def test_url_parts_match_sql(spark):
+    c = duckdb.connect()
+    sql = """WITH p AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1) AS h, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages)
+        SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p"""
+    c.execute(f"create view pages as select * from '{DATA}/pages.parquet'")
+    c.execute("create table rules as select * from (values ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')) t(rule, verdict)")
+    want = c.execute(f"""WITH u AS ({sql}), m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM u JOIN rules
+        ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY page_id)
+        SELECT u.page_id, host, path, m.rule, m.verdict FROM u LEFT JOIN m USING (page_id)""").fetchall()
+    got = {r["page_id"]: r for r in queries.QUERIES["op1_url_filter"](spark, DATA).collect()}
+    assert len(got) == len(want)
+    for i, host, path, rule, verdict in want:
+        r = got[i]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and (rule is None or r["verdict"] == verdict)
+
+
 # ---- op2, op3
 
 def brute_links(ids, v, threshold):
@@ -192,7 +225,7 @@ def test_quality_and_toxicity_held_out(spark):
     assert np.mean([kept[d] for d in good]) > 0.98 and np.mean([kept[d] for d in bad]) < 0.05
     tox = {r["doc_id"]: r for r in queries.QUERIES["op10_toxicity"](spark, where).collect()}
     assert len(tox) == len(kept) and all(tox[d]["held_out"] for d in held)
-    assert np.mean([tox[d]["predicted"] for d in held if labels[d][1] == 1]) > 0.55
+    assert np.mean([tox[d]["predicted"] for d in held if labels[d][1] == 1]) > 0.62
     assert np.mean([tox[d]["predicted"] for d in held if labels[d][1] == 0]) < 0.01
 
 
@@ -252,6 +285,28 @@ def test_toxicity_odd_rows(spark):
     assert {r["score"] for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_probabilities_sum_to_one(spark):
+    rng = random.Random(9)
+    rows = [(" ".join(rng.choice("abcdefgh") for _ in range(30)), i % 2) for i in range(20)]
+    m = toxicity.ClassModels.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    hasher = toxicity.WordHasher()
+    for before in "abcz":
+        pairs = [toxicity._grams(hasher.hashes([before.encode(), w.encode()])) for w in "abcdefgh"]
+        h = pairs[0][0][1]
+        for c in (0, 1):
+            k = [int(b[1] >> np.uint64(64 - toxicity.BIGRAM_BITS)) for _, _, b in pairs]
+            own = sum(m.bigram[c][i] for i, (_, _, b) in zip(k, pairs, strict=True) if m.owner[c][i] == b.view(np.int64)[1])
+            assert own * m.scale[c][h] + m.left[c][h] * m.word[c].sum(dtype=np.float64) == pytest.approx(1, abs=0.01)
+
+
+def test_toxicity_fit_does_not_depend_on_partitions(spark):
+    docs = [(i, f"you utter scum {i % 5}" if i % 4 == 0 else f"a calm note number {i % 9}") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    a, b = ({r["doc_id"]: r["score"] for r in toxicity.score_toxicity(x, labels).collect()} for x in (df.repartition(1), df.repartition(7, "text")))
+    assert all(a[i] == pytest.approx(b[i], abs=1e-9) for i in a)
+
+
 def test_toxicity_keeps_class_rate_past_the_cap(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MAX_ROWS", 300)
     rng = random.Random(8)
@@ -436,6 +491,16 @@ def test_html_self_closed_svg_and_math():
     assert html_text.page_lines(page) == (["Before it", "Sum x+1 and after", "Last"], [])
 
 
+def test_html_odd_markup():
+    lines = lambda x: html_text.page_lines(x)[0]
+    assert lines("<article><p title=don't>Hello world</p><p>it's here</p></article>") == ["Hello world", "it's here"]
+    assert lines('<article><p>One</p><svg width="1"><p>Two</p><button>Three</article>') == ["One", "Two", "Three"]
+    assert lines("<article><p class='ad'>Buy</p><p>Keep</p><ul><li class=ad-box>Buy<li>Item</ul></article>") == ["Keep", "Item"]
+    assert lines('<article><p>Text</p></article><article class="teaser"><p>Next</p></article>') == ["Text"]
+    assert lines('<article><a href="x>y" title=\'a"b\'>Link</a> <svg a="/>"><b>no</b></svg><p data-x="1>2">P</p></article>') == ["Link", "P"]
+    assert lines("<article><p>" + "word " * 200_000 + "<p " + 'a="' * 50_000 + "</article>")[0].startswith("word word")
+
+
 def test_common_lines():
     rng = random.Random(2)
     for _ in range(60):
@@ -499,6 +564,15 @@ def test_best_fit_against_brute_force():
         assert packing.best_fit(items, 100, 2) == want
 
 
+def test_pack_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c", "s")], "doc_id long, text string, source string").select("*", F.explode(F.sequence(F.lit(1), F.lit(20_000))).alias("copy"))
+    got = packing.pack(df, capacity=100, per_source=2)
+    # one of equal texts fits in a bin
+    assert got.count() == 20_000 == got.select("bin_id").distinct().count()
+    shards = got.groupBy(F.shiftright("bin_id", 32).alias("s")).count().collect()
+    assert len(shards) == 5 and max(r["count"] for r in shards) < 5_000
+
+
 def test_pack(spark):
     rows = [(i, " ".join(["w"] * (i % 90)), "hot" if i % 3 else f"s{i % 5}") for i in range(600)] + [(700, None, None), (701, "", "s1"), (702, "w " * 1000, "s2"), (None, "a b", "s3"), (5, "w", "s1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("length", F.lit(1)).withColumn("shard", F.lit(1))
