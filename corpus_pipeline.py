@@ -1,4 +1,9 @@
-"""Corpus pipeline: toxicity, quality, near duplicates, packing. Part of subpackage llm."""
+"""Corpus pipeline: toxicity, quality, near duplicates, packing. Part of subpackage llm.
+
+Every stage takes null ids and texts, empty and very long texts, repeated rows and an empty table, and returns the columns
+of its input whatever their names, but for the last. Empty texts have no evidence against them: toxicity scores them like a text of ordinary
+words only, quality gives them weight 0, near duplicates never joins them. Without labels the two filters keep everything.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +23,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling towards text labelled good draws."""
+    """Documents that importance resampling towards text labelled good draws, as many as the share of good ones among the labelled."""
     return resample_rows(docs, read(spark, sf_dir, "labels"))
 
 
