@@ -89,12 +89,15 @@ def log_ratios(counts: np.ndarray, smooth: float = 1.0) -> np.ndarray:
 
 
 def _weights(docs: DataFrame, ratio, keep: list[str], text_col: str, temperature: float) -> DataFrame:
+    # a text that is kept anyway goes to the task once
+    at, d = (keep.index(text_col), docs.select(*keep)) if text_col in keep else (len(keep), docs.select(*keep, text_col))
+
     def make():
         hasher, r = WordHasher(), ratio.value
 
         def f(batch):
             out = np.zeros(batch.num_rows)
-            for i, t in enumerate(texts(batch.column(len(keep)))):
+            for i, t in enumerate(texts(batch.column(at))):
                 k = features(t, hasher)
                 if len(k):
                     out[i] = r[k].sum(dtype=np.float64) / temperature
@@ -103,8 +106,7 @@ def _weights(docs: DataFrame, ratio, keep: list[str], text_col: str, temperature
 
         return f
 
-    d = docs.select(*keep, F.col(text_col).alias("_text_"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1]) + f", {WEIGHT} double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[: len(keep)]) + f", {WEIGHT} double"
     return map_rows(d, make, schema)
 
 

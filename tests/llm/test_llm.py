@@ -295,7 +295,7 @@ def test_toxicity_probabilities_sum_to_one(spark):
         h = pairs[0][0][1]
         for c in (0, 1):
             k = [int(b[1] >> np.uint64(64 - toxicity.BIGRAM_BITS)) for _, _, b in pairs]
-            own = sum(m.bigram[c][i] for i, (_, _, b) in zip(k, pairs, strict=True) if m.owner[c][i] == b.view(np.int64)[1])
+            own = sum(m.bigram[c][i] for i, (_, _, b) in zip(k, pairs, strict=True) if m.owner[c][i] == b.astype(np.uint32)[1])
             assert own * m.scale[c][h] + m.left[c][h] * m.word[c].sum(dtype=np.float64) == pytest.approx(1, abs=0.01)
 
 
