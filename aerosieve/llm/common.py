@@ -82,7 +82,8 @@ class WordHasher(dict):
     """word (bytes) -> its 64-bit hash as 8 bytes. A cache of at most ``limit``
     words: it is emptied between batches, results don't depend on it."""
 
-    limit = 400_000
+    def __init__(self, limit: int = 400_000):
+        self.limit = limit
 
     def __missing__(self, word: bytes) -> bytes:
         h = xxhash.xxh3_64_digest(word)
