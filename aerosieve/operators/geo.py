@@ -40,7 +40,13 @@ def _buckets_in_band(band: Column, height: float, limit_km: float) -> Column:
 
 
 def close_pairs(points: DataFrame, id_col: str, lat: str, lon: str, limit_km: float) -> DataFrame:
-    """(id_a, id_b, distance_km rounded to 3) of all pairs a < b nearer than the limit, judged unrounded.
+    """(id_a, id_b, distance_km rounded to 3) of all pairs a < b nearer than the limit, judged unrounded."""
+    p = points.select(F.col(id_col).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).filter("id is not null and lat is not null and lon is not null")
+    return _near(p, p, limit_km).filter(F.col("id_a") < F.col("id_b"))
+
+
+def _near(asked: DataFrame, points: DataFrame, limit_km: float) -> DataFrame:
+    """(id_a of ``asked``, id_b of ``points``, distance_km) of all pairs nearer than the limit, a point with itself included; both (id, lat, lon).
 
     Points fall into latitude bands and longitude buckets no narrower than the limit; one side probes the
     neighbouring bands and buckets, so the join is an equi-join. Bucket counts depend on the band alone and wrap at the meridian.
@@ -48,18 +54,16 @@ def close_pairs(points: DataFrame, id_col: str, lat: str, lon: str, limit_km: fl
     h = _band_height(limit_km)
     turn = F.pmod(F.col("lon"), F.lit(360.0)) / 360
 
-    p = points.select(F.col(id_col).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).filter("id is not null and lat is not null and lon is not null")
-    base = p.withColumn("band", F.floor(F.col("lat") / h))
     n = _buckets_in_band(F.col("band"), h, limit_km)
-    home = base.withColumn("n", n).withColumn("bucket", F.pmod(F.floor(turn * F.col("n")), F.col("n")))
-    probe = base.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    home = points.withColumn("band", F.floor(F.col("lat") / h)).withColumn("n", n).withColumn("bucket", F.pmod(F.floor(turn * F.col("n")), F.col("n")))
+    probe = asked.withColumn("band", F.floor(F.col("lat") / h)).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     probe = probe.withColumn("n", n).withColumn("b", F.floor(turn * F.col("n")))
     near = F.array_distinct(F.array(*[F.pmod(F.col("b") + k, F.col("n")) for k in (-1, 0, 1)]))
     probe = probe.select("id", "lat", "lon", "band", F.explode(near).alias("bucket"))
     b = home.select(F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), "band", "bucket")
     a = probe.select(F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), "band", "bucket")
     d = haversine_km("lat_a", "lon_a", "lat_b", "lon_b")
-    return a.join(b, ["band", "bucket"]).filter(F.col("id_a") < F.col("id_b")).withColumn("d", d).filter(F.col("d") < limit_km).select("id_a", "id_b", round_even("d", 3).alias("distance_km"))
+    return a.join(b, ["band", "bucket"]).withColumn("d", d).filter(F.col("d") < limit_km).select("id_a", "id_b", round_even("d", 3).alias("distance_km"))
 
 
 def cluster_pairs(pairs: DataFrame, mode: str = "greedy", a: str = "id_a", b: str = "id_b", distance: str = "distance_km", max_rounds: int = 60) -> DataFrame:
@@ -100,17 +104,31 @@ def cluster_pairs(pairs: DataFrame, mode: str = "greedy", a: str = "id_a", b: st
             state = _cut(state.join(top, "up").select("node", "e", F.coalesce("root", "r2").alias("root"), F.when(F.col("root").isNotNull(), F.col("up")).otherwise(F.col("up2")).alias("up")))
         roots = state.select("node", "root")
         first = roots.select("root").distinct().withColumn("rank", F.col("root"))
-    # clusters are few next to pairs: numbered in a window over distinct roots
-    numbered = first.select("root", F.row_number().over(Window.orderBy("rank")).alias("cluster_id"))
+    numbered = _numbered(first.select("root", "rank"), "rank", "cluster_id").select("root", "cluster_id")
     of = roots.join(numbered, "root").select("node", "cluster_id")
     oa, ob = of.toDF("node_a", "cluster_id"), of.toDF("node_b", "cluster_b")
     out = pairs.join(oa, F.col(a) == F.col("node_a"), "left").join(ob, F.col(b) == F.col("node_b"), "left")
     return out.withColumn("is_bridge", F.col("cluster_id") != F.col("cluster_b")).drop("node_a", "node_b", "cluster_b")
 
 
+def _numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with its rows numbered from 1 in ascending ``order``, spread over all partitions: the place in a range of a
+    global sort plus what the ranges before it hold."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = _cut(df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_m", 33))
+    # one row per range, so this window runs over a small table
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    at = F.col("_m").bitwiseAND((1 << 33) - 1) + F.col("_o") + 1
+    return placed.join(F.broadcast(held), "_part").withColumn(name, at.cast("int")).drop("_m", "_part", "_o")
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage of an iteration by a checkpoint in the shared folder; without one configured (tests), by the cache."""
+    """Ends the lineage of an iteration by a checkpoint in the shared folder; only in local mode without one configured, by the cache."""
     spark = df.sparkSession
+    if not spark.sparkContext.master.startswith("local") and not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
         return df.checkpoint()
     return df.cache()
@@ -128,17 +146,15 @@ def pair_correlation(pairs: DataFrame, daily: DataFrame, key: str, date: str, va
 def nearest_neighbour(points: DataFrame, id_col: str, lat: str, lon: str, k: int = 1, start_km: float = 4.0, risk_km: tuple[float, float] = (1.0, 1.5), max_rounds: int = 20) -> DataFrame:
     """The k nearest other points of each point: (id, rank, neighbour, nn_km, pixel_risk).
 
-    Pairs within a radius come from :func:`close_pairs`; points that have fewer than k go on with
-    twice the radius, up to half the globe. Distances are rounded to 3; ties go to the smaller id. pixel_risk: YES within the first limit, BORDERLINE within the second.
+    Points are joined with those within a radius; points that have fewer than k go on, alone, with
+    twice the radius, up to half the globe, so a far point meets the others once a round but they don't meet each other again. Distances are rounded to 3; ties go to the smaller id. pixel_risk: YES within the first limit, BORDERLINE within the second.
     """
-    p = points.select(F.col(id_col).alias("id"), F.col(lat).alias("lat"), F.col(lon).alias("lon")).filter("id is not null and lat is not null and lon is not null")
-    radius, found, todo = start_km, None, p.select("id")
+    p = points.select(F.col(id_col).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).filter("id is not null and lat is not null and lon is not null")
+    radius, found, todo = start_km, None, p
     last = math.pi * EARTH_KM * 1.001
     for _ in range(max_rounds):
-        pairs = close_pairs(p, "id", "lat", "lon", radius)
-        both = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("neighbour"), F.col("distance_km").alias("nn_km")).unionByName(
-            pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("neighbour"), F.col("distance_km").alias("nn_km")))
-        ranked = both.join(todo, "id", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("nn_km", "neighbour"))).filter(F.col("rank") <= k)
+        met = _near(todo, p, radius).filter(F.col("id_a") != F.col("id_b")).select(F.col("id_a").alias("id"), F.col("id_b").alias("neighbour"), F.col("distance_km").alias("nn_km"))
+        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("nn_km", "neighbour"))).filter(F.col("rank") <= k)
         ranked = _cut(ranked.withColumn("n", F.count("*").over(Window.partitionBy("id"))))
         enough = ranked if radius >= last else ranked.filter(F.col("n") >= k)
         found = enough if found is None else found.unionByName(enough)

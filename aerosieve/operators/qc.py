@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +24,11 @@ LABELS: dict[str, dict[int, str]] = {
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Q1: all rows of groups with more than one row, with the group's size. NULL keys are equal."""
-    return df.withColumn("n_in_group", F.count("*").over(Window.partitionBy(*keys))).filter("n_in_group > 1")
+    """Q1: all rows of groups with more than one row, with the group's size. NULL keys are equal. Groups are counted
+    and joined back, so the rows of a large one need not meet in a task."""
+    n = df.groupBy(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)]).agg(F.count("*").alias("n_in_group")).filter("n_in_group > 1")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(keys)])
+    return df.join(n, same).select(*df.columns, "n_in_group")
 
 
 def excess_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:

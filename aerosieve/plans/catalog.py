@@ -16,6 +16,7 @@ from ..operators import fusion, geo, qc, temporal
 from ..sources import ingest, schemas
 from ..sources.scratch import scratch_path
 from ..streaming import streams
+from . import chains
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,6 +134,11 @@ def t7(spark, d):
     return temporal.exclude_keys(k, "station", [3, 5, 8])
 
 
+@query("t7_exclusion_report", f"WITH {C_HOURLY} SELECT count(*) AS rows_before, count(*) FILTER (station NOT IN (3, 5, 8)) AS rows_after, count(DISTINCT station) AS keys_before, count(DISTINCT station) FILTER (station NOT IN (3, 5, 8)) AS keys_after FROM h")
+def t7_report(spark, d):
+    return temporal.exclusion_report(hourly(spark, d), "station", [3, 5, 8])
+
+
 @query("t7_exclude_table", f"WITH {C_DATED} SELECT station, l_orderkey, price FROM d WHERE station NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal <= 0)")
 def t7_table(spark, d):
     bad = table(spark, d, "supplier").filter("s_acctbal <= 0").select("s_suppkey")
@@ -596,15 +602,15 @@ def i13(spark, d):
     return ingest.read_combined(spark, path).select("user_id", "event_id", "value", F.col("month").cast("long").alias("month"))
 
 
-@query("i14_sample_raster", f"WITH {C_POINTS}, {_CELLS}, px AS (SELECT o_orderkey AS image_id, (o_orderkey % 3) * 0.5 + 28.25 AS cell_lat, 76.6875 + (o_custkey % 3) * 0.625 AS cell_lon, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS aod FROM orders WHERE o_orderkey % 40 < 4) SELECT c.id, px.image_id, px.aod FROM c JOIN px ON px.cell_lat = c.cell_lat AND px.cell_lon = c.cell_lon WHERE px.aod IS NOT NULL")
+@query("i14_sample_raster", f"WITH {C_POINTS}, {_CELLS}, px AS (SELECT o_orderkey AS image_id, (o_orderkey % 3) * 0.5 + 28.25 AS cell_lat, 76.6875 + (o_custkey % 3) * 0.625 AS cell_lon, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS aod FROM orders) SELECT c.id, px.image_id, px.aod FROM c JOIN px ON px.cell_lat = c.cell_lat AND px.cell_lon = c.cell_lon WHERE px.aod IS NOT NULL")
 def i14(spark, d):
-    px = table(spark, d, "orders").filter("o_orderkey % 40 < 4").selectExpr("o_orderkey AS image_id", "cast((o_orderkey % 3) * 0.5 + 28.25 as double) AS cell_lat", "cast(76.6875 + (o_custkey % 3) * 0.625 as double) AS cell_lon", "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS aod")
+    px = table(spark, d, "orders").selectExpr("o_orderkey AS image_id", "cast((o_orderkey % 3) * 0.5 + 28.25 as double) AS cell_lat", "cast(76.6875 + (o_custkey % 3) * 0.625 as double) AS cell_lon", "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS aod")
     return ingest.sample_raster_at_points(geo.snap_to_grid(points(spark, d), "lat", "lon", 0.5, 0.625, 0.0, 0.125), px, ["cell_lat", "cell_lon"], "aod").select("id", "image_id", "aod")
 
 
 @query("i14_sample_raster_whole", f"WITH {C_POINTS}, {_CELLS}, px AS (SELECT o_orderkey AS image_id, (o_orderkey % 3) * 0.5 + 28.25 AS cell_lat, 76.6875 + (o_custkey % 3) * 0.625 AS cell_lon, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS aod FROM orders) SELECT c.id, px.image_id, px.aod FROM c JOIN px ON px.cell_lat = c.cell_lat AND px.cell_lon = c.cell_lon WHERE px.aod IS NOT NULL")
 def i14_whole(spark, d):
-    """As i14_sample_raster, over every pixel."""
+    """The name under which i14_sample_raster first ran over every pixel."""
     px = table(spark, d, "orders").selectExpr("o_orderkey AS image_id", "cast((o_orderkey % 3) * 0.5 + 28.25 as double) AS cell_lat", "cast(76.6875 + (o_custkey % 3) * 0.625 as double) AS cell_lon", "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS aod")
     return ingest.sample_raster_at_points(geo.snap_to_grid(points(spark, d), "lat", "lon", 0.5, 0.625, 0.0, 0.125), px, ["cell_lat", "cell_lon"], "aod").select("id", "image_id", "aod")
 
@@ -620,15 +626,18 @@ def i15(spark, d):
 PAGE_ROWS = 1_000  # measurements of a landed page, about
 
 
-@query("s1_ingest_stream", "SELECT DISTINCT user_id AS location_id, strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS datetime_from_utc FROM events")
+# a pull that repeats hours already there has the same values, so whichever arrives first is the one
+@query("s1_ingest_stream", "SELECT user_id AS location_id, strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS datetime_from_utc, max(value) AS value FROM events GROUP BY ALL")
 def s1(spark, d):
     entry = F.expr("named_struct('value', value, 'period', named_struct('datetimeFrom', named_struct('utc', date_format(ts, \"yyyy-MM-dd'T'HH:00:00'Z'\"))))")
-    dealt = ingest.with_chunks(table(spark, d, "events"), ["user_id"], PAGE_ROWS)
-    pages = dealt.groupBy(F.col("user_id").alias("location_id"), "_chunk").agg(F.min("user_id").alias("sensor_id"), F.collect_list(entry).alias("results")).drop("_chunk")
+    hours = table(spark, d, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("ts")).agg(F.max("value").alias("value"))
+    pulls = hours.withColumn("pull", F.explode(F.array(F.lit(1), F.lit(2))))
+    dealt = ingest.with_chunks(pulls, ["user_id", "pull"], PAGE_ROWS)
+    pages = dealt.groupBy(F.col("user_id").alias("location_id"), "pull", "_chunk").agg(F.min("user_id").alias("sensor_id"), F.collect_list(entry).alias("results")).drop("pull", "_chunk")
     landed, out, state = (scratch_path(spark, x) for x in ("landed", "ingested", "state"))
     pages.write.json(landed)
     streams.ingest_stream(spark, landed, out, state, watermark="90 days").awaitTermination()
-    return spark.read.parquet(out).select("location_id", "datetime_from_utc")
+    return spark.read.parquet(out).select("location_id", "datetime_from_utc", "value")
 
 
 @query("s2_daily_stream", "WITH g AS (SELECT user_id AS station, CAST(ts AS DATE) AS date, round(avg(value), 6) AS daily_mean, count(value) AS n_used FROM events GROUP BY 1, 2) SELECT * FROM g WHERE n_used >= 2 AND date + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY")
@@ -639,3 +648,22 @@ def s2(spark, d):
     out, state = (scratch_path(spark, x) for x in ("daily", "state"))
     daily.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(daily.schema).parquet(out).select("station", "date", r6("daily_mean"), "n_used")
+
+
+# ---- chains
+
+@query("chain_ground", f"WITH {C_HOURLY}, {C_POINTS} SELECT station AS location_id, CAST(ts AS DATE) AS date, round(avg(value), 6) AS pm25_daily, count(value) AS hours_used, {SEASON_SQL.format('CAST(ts AS DATE)')} AS season FROM h WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' AND hour(ts) BETWEEN 4 AND 20 AND station <> 3 AND station IN (SELECT id FROM p WHERE status = 'KEEP') GROUP BY station, CAST(ts AS DATE) HAVING count(value) >= 1")
+def chain_ground(spark, d):
+    hours = hourly(spark, d).select(F.col("station").alias("location_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+05:30'").alias("datetime_from_local"), "value")
+    config = chains.GroundConfig("2024-01-05", "2024-01-25", tuple(range(4, 21)), (3,), 1)
+    out = chains.ground_daily(hours, points(spark, d).withColumnRenamed("id", "location_id"), config)
+    return out.select("location_id", "date", r6("pm25_daily"), "hours_used", "season")
+
+
+_AOD = f"b2 AS (SELECT location_id, date, CASE WHEN aod_055 <> -28672 THEN aod_055 * 0.001::DOUBLE END AS a55, CASE WHEN aod_047 <> -28672 THEN aod_047 * 0.001::DOUBLE END AS a47 FROM b WHERE qa_aod IN (0, 3) AND location_id IN (SELECT id FROM p WHERE status = 'KEEP'))"
+
+
+@query("chain_overpass", f"WITH {C_OVER}, {C_POINTS}, {_BITS}, {_AOD} SELECT location_id, date, round(avg(a55), 6) AS aod_055, round(avg(a47), 6) AS aod_047, count(a55) AS n_overpasses, {SEASON_SQL.format('date')} AS season FROM b2 GROUP BY location_id, date")
+def chain_overpass(spark, d):
+    out = chains.overpass_daily(overpass(spark, d), points(spark, d).withColumnRenamed("id", "location_id"), chains.OverpassConfig(SCALES))
+    return out.select("location_id", "date", r6("aod_055"), r6("aod_047"), "n_overpasses", "season")

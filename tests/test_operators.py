@@ -278,5 +278,19 @@ def test_landed_pages_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(catalog, "scratch_path", lambda s, x: paths.setdefault(x, real(s, x)))
     rows = catalog.QUERIES["s1_ingest_stream"](spark, "/root/testdata/sf0.001").count()
     pages = spark.read.json(paths["landed"]).select(F.size("results").alias("n")).toPandas()["n"]
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
-    assert rows and pages.sum() == events and pages.max() < 50
+    assert rows and pages.sum() == 2 * rows and pages.max() < 50  # two pulls of every hour
+
+
+def test_nearest_neighbour_widens_for_far_points_only(spark, monkeypatch):
+    pts = [(i, 28.0 + (i % 20) * 0.01, 77.0 + (i // 20) * 0.01) for i in range(400)] + [(1000, -40.0, -60.0)]
+    asked = []
+    real = geo._near
+    monkeypatch.setattr(geo, "_near", lambda a, p, r: asked.append(a.count()) or real(a, p, r))
+    got = geo.nearest_neighbour(spark.createDataFrame(pts, "id int, lat double, lon double"), "id", "lat", "lon", k=1).collect()
+    assert len(got) == 401 and asked[0] == 401 and set(asked[1:]) == {1}
+
+
+def test_clusters_are_numbered_over_all_partitions(spark):
+    pairs = [(2 * i, 2 * i + 1, round(5 - i * 0.01, 2)) for i in range(300)]
+    got = geo.cluster_pairs(spark.createDataFrame(pairs, "id_a int, id_b int, distance_km double")).collect()
+    assert {r["id_a"]: r["cluster_id"] for r in got} == {2 * i: 300 - i for i in range(300)}
