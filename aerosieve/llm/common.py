@@ -52,10 +52,18 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch. Rows here hold whole texts, so Spark's 10,000 would make batches of tens of MB, held several times over.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+MOST_ROWS = 2_000
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, max_bytes: int = 16 << 20) -> DataFrame:
     """mapInArrow with a per-task function: ``make()`` runs once in each task and
     returns ``f(table) -> RecordBatch | Table | None``. Batches are cut so that a
-    call sees at most ``max_bytes`` (or a single row, if longer)."""
+    call sees at most ``max_bytes`` (or a single row, if longer). Lowers the session's rows of a batch to MOST_ROWS."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_ROWS, "0")) <= MOST_ROWS:
+        conf.set(BATCH_ROWS, str(MOST_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
