@@ -57,7 +57,7 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 MOST_ROWS = 2_000
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, max_bytes: int = 16 << 20) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, max_bytes: int = 4 << 20) -> DataFrame:
     """mapInArrow with a per-task function: ``make()`` runs once in each task and
     returns ``f(table) -> RecordBatch | Table | None``. Batches are cut so that a
     call sees at most ``max_bytes`` (or a single row, if longer). Lowers the session's rows of a batch to MOST_ROWS."""
@@ -90,7 +90,7 @@ class WordHasher(dict):
     """word (bytes) -> its 64-bit hash as 8 bytes. A cache of at most ``limit``
     words: it is emptied between batches, results don't depend on it."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> bytes:
