@@ -135,13 +135,17 @@ def _with_bit(rows: DataFrame, position: Column, marked, want: bool) -> DataFram
     return map_rows(d, make, ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in d.schema.fields)).drop("_bit_")
 
 
-def _prefixes(docs: DataFrame, id_: str, text: str, n: int, percent: int, sketch, common=None) -> DataFrame:
-    """By rank in the sketch, those in the bitmap ``common`` behind all others. kind 0: (doc, n of its set); kind 1: exact copy ``doc`` of ``key``; kind 2: n-gram ``key`` in the prefix of ``doc``."""
+def _prefixes(docs: DataFrame, id_: str, text: str, n: int, percent: int, sketch, common=None, again=None) -> DataFrame:
+    """By rank in the sketch, those in the bitmap ``common`` behind all others; only of documents in the bitmap ``again``, if given
+    (chosen here, since a second map in the stage would be a second Python process beside each task). kind 0: (doc, n of its set); kind 1: exact copy ``doc`` of ``key``; kind 2: n-gram ``key`` in the prefix of ``doc``."""
 
     def make():
         hasher, seen, counts, late = WordHasher(), {}, sketch.value, common and common.value
+        chosen = again and again.value
 
         def f(batch):
+            if chosen is not None:
+                batch = batch.filter(pa.array(_bits_of(batch.column(2), chosen)))
             ids = batch.column(0).to_pylist()
             doc, key, kind, size = [], [], [], []
             for i, t in zip(ids, texts(batch.column(1)), strict=True):
@@ -182,7 +186,7 @@ def _prefixes(docs: DataFrame, id_: str, text: str, n: int, percent: int, sketch
 
         return f
 
-    return map_rows(docs.select(F.col(id_).cast("long"), F.col(text)), make, "doc long, key long, kind byte, size int")
+    return map_rows(docs.select(F.col(id_).cast("long"), F.col(text), _doc_bit(F.col(id_).cast("long"))), make, "doc long, key long, kind byte, size int")
 
 
 def least_shared(a, b, percent: int):
@@ -399,7 +403,7 @@ def find_blocks(docs: DataFrame, id_col: str, text_col: str, n: int, percent: in
     common = spark.sparkContext.broadcast(_bitmap_by_spark(often, at, COMMON_BITS))
     touched = _with_bit(prefix.select("key", "doc"), at, common, True).select("doc").distinct()
     again = spark.sparkContext.broadcast(_bitmap_by_spark(touched, _doc_bit(F.col("doc")), FILTER_BITS))
-    anew = stored(_prefixes(_with_bit(docs, _doc_bit(F.col(id_col)), again, True), id_col, text_col, n, percent, sketch, common), "anew")
+    anew = stored(_prefixes(docs, id_col, text_col, n, percent, sketch, common, again), "anew")
     prefix = _with_bit(prefix, _doc_bit(F.col("doc")), again, False).unionByName(anew.filter("kind = 2").select("key", "size", "doc"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = prefix.repartition(parts, "key").sortWithinPartitions("key", "size", "doc")
