@@ -15,27 +15,31 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     are re-linked to the smallest neighbour; rounds grow with the logarithm of
     the number of edges, not with the diameter. A node keeps one outgoing edge after
     a small star, so hubs don't gather lists: only minima are aggregated (with
-    partial aggregation) and joined back. Each round is written to the shared folder.
+    partial aggregation), written to the shared folder and joined back. Both sides of such a join are
+    stored tables, so that adaptive execution can deal the edges of a hub to many tasks.
     Null ends and self-links are ignored; an empty table gives an empty one.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null and u <> v")
     e = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     for _ in range(max_rounds):
         # large star: neighbours above a node go to the smallest of the node and its neighbours
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        large = large.distinct()
+        up = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        low = stored(e.unionByName(up).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        large = stored(up.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # small star: neighbours below a node, and the node, go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         # done when every edge leads to a root and no node has two edges
-        state = new.join(new.select(F.col("u").alias("w")).distinct(), new["v"] == F.col("w"), "left").agg(
-            F.count("*").alias("n"), F.countDistinct("u").alias("d"), F.count("w").alias("deep")).first()
+        ends = new.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+            new.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        open_ends = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or out = 1 and into = 1")
+        settled = open_ends.isEmpty()
+        for t in (low, large, least):
+            drop_stored(t)
         drop_stored(e)
         e = new
-        if state["n"] == state["d"] and state["deep"] == 0:
+        if settled:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
