@@ -1,4 +1,4 @@
-"""Queries of the ten operators, with production parameters, and their SQL."""
+"""Queries of the thirteen operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from .common import fold_of, read, scratch_dir
 from .embedding_dedup import near_duplicates
 from .html_text import main_text
 from .jaccard_join import jaccard_classes
+from .line_dedup import dedup_lines
 from .packing import pack
 from .quality import resample
 from .sentencepiece_unigram import round_trip
@@ -75,6 +76,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold_of() == 1).alias("held_out"), "score", "predicted")
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_blocks": op8_token_blocks,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 _CLASSES = """ends AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e),
@@ -93,6 +100,12 @@ _CLASSES = """ends AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e
     low AS (SELECT u, min(top) AS c FROM reach GROUP BY u)"""
 
 ORACLES: dict[str, str] = {
+    "op13_line_dedup": """WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+    l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos FROM d),
+    k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+    SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (c.key IS NULL), '')) AS kept_sha256
+    FROM k LEFT JOIN c USING (key) GROUP BY doc_id""",
     # on tables of up to 500 vectors, where every list is opened, the search is exact; beyond, a test measures recall
     "op3_nearest_neighbours": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
     g AS (SELECT vec_id, x FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
