@@ -20,6 +20,7 @@ from .token_blocks import token_index, write_tokens
 from .toxicity import score_toxicity
 from .url_filter import judge_urls, labelled_urls
 from .vector_search import nearest
+from .whitening import whiten
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +77,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold_of() == 1).alias("held_out"), "score", "predicted")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"), k=16)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_blocks": op8_token_blocks,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
+    "op12_whitening": op12_whitening,
     "op13_line_dedup": op13_line_dedup,
 }
 
