@@ -16,6 +16,7 @@ from .line_dedup import dedup_lines
 from .packing import pack
 from .quality import resample
 from .sentencepiece_unigram import round_trip
+from .token_alignment import align_tokens
 from .token_blocks import token_index, write_tokens
 from .toxicity import score_toxicity
 from .url_filter import judge_urls, labelled_urls
@@ -77,6 +78,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold_of() == 1).alias("held_out"), "score", "predicted")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read(spark, sf_dir, "embeddings"), k=16)
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_blocks": op8_token_blocks,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_whitening": op12_whitening,
     "op13_line_dedup": op13_line_dedup,
 }
