@@ -5,7 +5,7 @@ form feed, carriage return), A-Z in lower case. Lines are exploded and hashed (1
 hash the distinct documents are counted. A text loses all its lines whose key has at least ``min_chars`` code points and occurs in
 at least ``min_docs`` documents; the others stay as they are, in order, joined by newlines.
 
-Plan. Only hashes and positions of lines are shuffled, never lines: the distinct (key, document) pairs and then their counts,
+Plan. Lines are exploded once, and their hashes and positions written; only these are shuffled, never lines: the distinct (key, document) pairs and then their counts,
 both aggregated before the shuffle, so a line of every document is no hot key. To find where common keys occur, the few that hold more than
 one in HOT_KEYS of all their occurrences (fewer than HOT_KEYS by arithmetic) are broadcast, and the others are joined on the key, where none is
 larger than that share. Dropped positions go back to their texts in one join on the document, which
@@ -49,7 +49,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     """(id_col, text, n_lines int, n_dropped int): every row of ``docs`` with the text that is left."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), text.alias("text"), *_hashed("d", F.col(id_col), text))
-    keys = line_keys(d, min_chars)
+    keys = stored(line_keys(d, min_chars), "line-keys")
     counts = keys.select("k1", "k2", "d1", "d2").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n"))
     common = stored(counts.filter(F.col("n") >= min_docs), "common-lines")
     occurrences = common.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
