@@ -8,7 +8,8 @@ corpus, and each text gets the sum of the counts of its links and how many of th
 
 A text is cut into units where both tokenizers begin anew whatever stands around: before a space or newline after
 something else, and around a newline before something else. (B's vocabulary is checked for it: no piece may hold a
-newline beside other characters, or its space mark behind others; else whole texts are units.) Units are aligned once and kept in a bounded cache.
+newline beside other characters, or its space mark behind others; else whole texts are units.) Units are aligned once and kept in a bounded cache; new ones are
+aligned together, one after the other in two long lists of ends.
 
 Plan. One pass over the texts writes blocks, each a row of at most BLOCK_UNITS unit occurrences (or one text, if longer): its texts'
 figures, their units as numbers, and the links of each distinct unit. Spark sums the blocks' counts of links by pair. Pairs that hold more
@@ -22,12 +23,11 @@ aligned whole. Each row has a result, repeated and null ids too; an empty table
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 from array import array
-from bisect import bisect_left, bisect_right
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, map_rows, stored
 
-CACHE = 500_000
-BLOCK_UNITS = 1 << 20
+CACHE = 300_000
+BLOCK_UNITS = 1 << 19
+#: Words that are encoded together.
+JOINED = 128
 HOT_PAIRS = 1 << 20
 MARK = "▁"
 UNITS = re.compile(r"\s+(?=\n\S)|\n(?=\S)|\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
@@ -46,37 +48,43 @@ BLOCK = ("block long, ids array<{0}>, n_a array<long>, n_b array<long>, n_groups
          "units array<int>, widths array<int>, links array<int>, pairs array<long>, counts array<long>")
 
 
-def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """(i, j) of all a[i] == b[j], both lists ascending without repeats: the shorter gallops through the longer."""
-    short, long, swap = (a, b, False) if len(a) <= len(b) else (b, a, True)
-    out, low, n = [], 0, len(long)
-    for i, x in enumerate(short):
-        step, high = 1, low
-        while high < n and long[high] < x:
-            low, high, step = high + 1, high + step, step * 2
-        low = bisect_left(long, x, low, min(high, n))
-        if low == n:
-            break
-        if long[low] == x:
-            out.append((low, i) if swap else (i, low))
-    return out
-
-
-def groups_and_links(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """Groups (first A, A after last, first B, B after last) and links (A, B) of two lists of ends, each from the first byte to the same last one."""
-    groups, links, i0, j0, start = [], [], 0, 0, 0
-    for i, j in common_ends(a, b):
-        i, j = i + 1, j + 1
-        groups.append((i0, i, j0, j))
-        if i == i0 + 1 or j == j0 + 1:
-            links += [(p, q) for p in range(i0, i) for q in range(j0, j)]
-            start = a[i - 1]
-        else:
-            for p in range(i0, i):
-                links += [(p, q) for q in range(bisect_right(b, start, j0, j), bisect_left(b, a[p], j0, j) + 1)]
-                start = a[p]
-        i0, j0 = i, j
-    return groups, links
+def gallop(short: np.ndarray, long: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """How many of ``long`` are less than each element of ``short`` (both ascending), at least ``start`` of them: from there in steps that double, then by
+    halves, for all elements at once. No element is greater than all of ``long``."""
+    low, high, step = start.copy(), start.copy(), 1
+    at = np.flatnonzero(long[high] < short)
+    while len(at):
+        low[at] = high[at] + 1
+        high[at] = np.minimum(high[at] + step, len(long) - 1)
+        step *= 2
+        at = at[long[high[at]] < short[at]]
+    at = np.flatnonzero(low < high)
+    while len(at):
+        middle = (low[at] + high[at]) // 2
+        less = long[middle] < short[at]
+        low[at] = np.where(less, middle + 1, low[at])
+        high[at] = np.where(less, high[at], middle)
+        at = at[low[at] < high[at]]
+    return low
+
+
+def intersect(a: np.ndarray, b: np.ndarray, starts_a: np.ndarray, starts_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of two lists of ends up to the same last one, that of fewer tokens driving the search: where they meet (indices of a, indices of b), and for each A token the first and last B token
+    that it overlaps. ``starts``: for each token the first one of its unit in the other list, where the search begins."""
+    if len(a) <= len(b):
+        before = gallop(a, b, starts_a)
+        met = b[before] == a
+        at_a, at_b = np.flatnonzero(met), before[met]
+    else:
+        rank = gallop(b, a, starts_b)
+        same = a[rank] == b
+        at_a, at_b = rank[same], np.flatnonzero(same)
+        # B ends below an A end are those with no more A ends up to them than lie before it
+        before = np.cumsum(np.bincount(rank + same, minlength=len(a) + 1))[: len(a)]
+        met = np.zeros(len(a), bool)
+        met[at_a] = True
+    first = np.concatenate([[0], (before + met)[:-1]])
+    return at_a, at_b, first, before
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -119,6 +127,8 @@ class Aligner:
         normal = [p for i, p in enumerate(pieces) if len(p) > 1 and not self.b.is_byte(i) and not self.b.is_control(i)]
         self.before = self.b.encode("\n")
         self.cuts = not any("\n" in p or MARK in p.lstrip(MARK) for p in normal) and self.b.encode("\na")[: len(self.before)] == self.before
+        self.width_a, self.width_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        self.name = [str(i) for i in range(max(len(self.bytes_a), self.size_b))]
         self.clear()
 
     def clear(self) -> None:
@@ -130,33 +140,89 @@ class Aligner:
     def units(self, text: str) -> list[str]:
         return UNITS.findall(" " + text) if self.cuts else [" " + text]
 
+    def _encode(self, strings: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """(A ids, B ids) of strings that begin where units begin; None where the tokens joined are not the string."""
+        ids_a = [e.ids for e in self.a.encode_batch(strings, add_special_tokens=False)]
+        if self.cuts:
+            skip = len(self.before)
+            ids_b = [x[skip:] for x in self.b.encode(["\n" + s for s in strings], num_threads=1)]
+        else:
+            ids_b = self.b.encode([s[1:] for s in strings], num_threads=1)
+        out = []
+        for s, a, b in zip(strings, ids_a, ids_b, strict=True):
+            whole = s.encode()
+            ok = b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
+            out.append((a, b) if ok else None)
+        return out
+
+    def _tokens(self, units: list[str]) -> list[tuple[list[str], list[int], list[int]] | None]:
+        """(units, A ids, B ids) in the units' order, None for a unit that has no tokens. Plain words are encoded joined, as a text would have them."""
+        runs: list[list[str]] = []
+        grows = False
+        for u in units:
+            plain = self.cuts and u[0] == " " and u[1:].split() == [u[1:]]
+            if plain and grows and len(runs[-1]) < JOINED:
+                runs[-1].append(u)
+            else:
+                runs.append([u])
+            grows = plain
+        out = []
+        for run, found in zip(runs, self._encode(["".join(r) for r in runs]), strict=True):
+            if found or len(run) == 1:
+                out.append(found and (run, *found))
+            else:
+                out += [f and ([u], *f) for u, f in zip(run, self._encode(run), strict=True)]
+        return out
+
     def learn(self) -> None:
         """Aligns the units that were numbered since the last call."""
         new, self.at.new = self.at.new, []
         if not new:
             return
-        ids_a = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
-        if self.cuts:
-            skip = len(self.before)
-            ids_b = [x[skip:] for x in self.b.encode(["\n" + u for u in new], num_threads=1)]
-        else:
-            ids_b = self.b.encode([u[1:] for u in new], num_threads=1)
-        bytes_a, bytes_b, size = self.bytes_a, self.bytes_b, self.size_b
-        for unit, a, b in zip(new, ids_a, ids_b, strict=True):
-            whole, pa_, pb = unit.encode(), [bytes_a[i] for i in a], [bytes_b[i] for i in b]
-            ok = b"".join(pa_) == whole == b"".join(pb)
-            if ok:
-                groups, links = groups_and_links(list(accumulate(map(len, pa_))), list(accumulate(map(len, pb))))
-                self.text.append(";".join([",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])) for i, k, j, m in groups]))
-                self.codes.extend([a[p] * size + b[q] for p, q in links])
-                self.n_groups.append(len(groups))
+        found = self._tokens(new)
+        good = [f for f in found if f]
+        ok = np.fromiter((bool(f) for f in found for _ in (f[0] if f else (0,))), bool, len(new))
+        flat_a, flat_b = (np.array([i for f in good for i in f[k]], np.int64) for k in (1, 2))
+        ends_a, ends_b = (np.cumsum(width[flat]) for width, flat in ((self.width_a, flat_a), (self.width_b, flat_b)))
+        unit_ends = np.cumsum([len(u.encode()) for f in good for u in f[0]]).astype(np.int64)
+        last_a, last_b = np.searchsorted(ends_a, unit_ends), np.searchsorted(ends_b, unit_ends)
+        if not (np.array_equal(ends_a[last_a], unit_ends) and np.array_equal(ends_b[last_b], unit_ends)):
+            raise RuntimeError("a token goes across the end of a unit")
+        n_a, n_b = (np.diff(last, prepend=-1) for last in (last_a, last_b))
+        begin_a, begin_b = last_a - n_a + 1, last_b - n_b + 1
+        at_a, at_b, first, last = intersect(ends_a, ends_b, np.repeat(begin_b, n_a), np.repeat(begin_a, n_b)) if len(good) else [np.empty(0, np.int64)] * 4
+        width = last - first + 1
+        link_b = flat_b[np.repeat(first - np.cumsum(width) + width, width) + np.arange(width.sum())]
+        codes = np.repeat(flat_a, width) * self.size_b + link_b
+        links_of = np.add.reduceat(width, begin_a) if len(good) else width
+        groups_of = np.diff(np.searchsorted(at_a, last_a, side="right"), prepend=0)
+        texts = self._group_texts(flat_a.tolist(), flat_b.tolist(), at_a.tolist(), at_b.tolist())
+        text_ends = np.cumsum(groups_of)
+        joined = iter([";".join(texts[i:j]) for i, j in zip((text_ends - groups_of).tolist(), text_ends.tolist(), strict=True)])
+        self.text += [next(joined) if k else "" for k in ok.tolist()]
+
+        def spread(values: np.ndarray) -> np.ndarray:  # 0 for units without tokens
+            out = np.zeros(len(new), np.int32)
+            out[ok] = values
+            return out
+
+        self.n_a.frombytes(spread(n_a).tobytes())
+        self.n_b.frombytes(spread(n_b).tobytes())
+        self.n_groups.frombytes(spread(groups_of).tobytes())
+        self.ok.frombytes(ok.astype(np.int8).tobytes())
+        self.ends.frombytes((len(self.codes) + np.cumsum(spread(links_of), dtype=np.int64)).tobytes())
+        self.codes.frombytes(codes.astype(np.int64).tobytes())
+
+    def _group_texts(self, a: list[int], b: list[int], at_a: list[int], at_b: list[int]) -> list[str]:
+        out, i, j, name = [], 0, 0, self.name
+        for p, q in zip(at_a, at_b, strict=True):
+            p, q = p + 1, q + 1
+            if p == i + 1 and q == j + 1:
+                out.append(name[a[i]] + "|" + name[b[j]])
             else:
-                self.text.append("")
-                self.n_groups.append(0)
-            self.n_a.append(len(a))
-            self.n_b.append(len(b))
-            self.ok.append(ok)
-            self.ends.append(len(self.codes))
+                out.append(",".join(map(name.__getitem__, a[i:p])) + "|" + ",".join(map(name.__getitem__, b[j:q])))
+            i, j = p, q
+        return out
 
 
 class _Numbers(dict):
@@ -184,6 +250,13 @@ class _Blocks:
         self.held = 0
 
     def __call__(self, batch):
+        gc.disable()  # nothing here is cyclic, and the collector would visit all cached units again and again
+        try:
+            return self.take(batch)
+        finally:
+            gc.enable()
+
+    def take(self, batch):
         m, done = self.m, []
         for lo in range(0, batch.num_rows, 256):
             ids, texts = (batch.column(k).slice(lo, 256) for k in (0, 1))
@@ -242,6 +315,7 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _weigh(hot):
     """block -> its texts, with sums over links of broadcast pairs and (pair, links) of the others."""
     codes, counts, best = hot.value
+    Aligner._here = None  # a worker that is used again need not keep its units
 
     def of_block(row):
         col = lambda k: row.column(k).flatten().to_numpy(zero_copy_only=False)

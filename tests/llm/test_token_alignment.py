@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from aerosieve.llm import queries, token_alignment as ta
@@ -78,12 +79,28 @@ def odd_text(rng):
     return "".join(rng.choice([" ", " ", "\n", "\t", "\r", " ", "　", "\x1c", "᠎", "​", "é", "é", "🙂", "中", "don't", "<|endoftext|>", "<s>", "<0x41>", "foo", "Bar12", "...", ";\r", "▁", "aa", "\x00"][: rng.choice([3, 8, 25])]) for _ in range(rng.randrange(0, 30)))
 
 
-def test_common_ends_property():
+def test_intersection_property():
+    """Random ends of several units in a row, each list driving in turn."""
     rng = random.Random(2)
-    for _ in range(2000):
-        a, b = (sorted(rng.sample(range(1, 60), rng.randrange(0, n))) for n in (8, 50))
-        for x, y in ((a, b), (b, a)):
-            assert ta.common_ends(x, y) == [(x.index(v), y.index(v)) for v in sorted(set(x) & set(y))]
+    for _ in range(800):
+        ends, units, at = ([], []), ([], []), 0
+        for u in range(rng.randrange(1, 6)):
+            size = rng.randrange(1, 40)
+            for k in (0, 1):
+                own = sorted({*rng.sample(range(1, size + 1), rng.randrange(0, rng.choice([2, size]) )), size})
+                units[k].append((len(ends[k]), len(own)))
+                ends[k].extend(at + x for x in own)
+            at += size
+        a, b = (np.array(x) for x in ends)
+        start = [np.concatenate([[other[0]] * own[1] for own, other in zip(units[k], units[1 - k])]).astype(np.int64) for k in (0, 1)]
+        at_a, at_b, first, last = ta.intersect(a, b, *start)
+        both = sorted(set(ends[0]) & set(ends[1]))
+        assert [ends[0].index(x) for x in both] == at_a.tolist() and [ends[1].index(x) for x in both] == at_b.tolist()
+        for i, e in enumerate(ends[0]):
+            s = ends[0][i - 1] if i else 0
+            over = [j for j, f in enumerate(ends[1]) if f > s and (ends[1][j - 1] if j else 0) < e]
+            assert over == list(range(first[i], last[i] + 1))
+        assert ta.gallop(a, b, np.zeros(len(a), np.int64)).tolist() == [sum(y < x for y in ends[1]) for x in ends[0]]
 
 
 def test_units_change_no_token(libraries):
