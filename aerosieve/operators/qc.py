@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clean, round_even
+from .intervals import asof_join
 
 # Fixed values of the aerosol product: fill, bit fields (shift, mask), code labels, allowed codes.
 FILL = -28672
@@ -214,3 +215,15 @@ def review_gate(mismatches: DataFrame, key: str) -> None:
     bad = mismatches.select(key).orderBy(key).limit(20).collect()
     if bad:
         raise ValueError("registry status disagrees with the rules for: " + ", ".join(str(r[0]) for r in bad))
+
+
+def excused(rows: DataFrame, exceptions: DataFrame, key: str, date: str, reason: str = "exception_reason", since: str = "exception_date", every: str = "month") -> DataFrame:
+    """Q15: ``rows`` with the reason and date of the exception in force: the key's last one not after the row's date. An exception counts
+    from its date on, until the next of its key; one without a date never does. On one date the greater reason counts."""
+    e = exceptions.select(F.col(key), F.col(since), F.col(reason))
+    return asof_join(rows, e, [key], date, since, [reason, since], every)
+
+
+def unexcused(rows: DataFrame, exceptions: DataFrame, key: str, date: str, reason: str = "exception_reason", since: str = "exception_date", every: str = "month") -> DataFrame:
+    """Q15: rows without an exception in force on their date; what :func:`review_gate` is to see."""
+    return excused(rows, exceptions, key, date, reason, since, every).filter(F.col(since).isNull()).select(rows.columns)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import SEASONS, epoch_ms_clock, round_even, season
@@ -121,3 +122,55 @@ def missing_days(missing: DataFrame, key: str, slots_per_day: int) -> DataFrame:
     """Days of which a key misses every slot."""
     per = missing.groupBy(key, F.to_date("slot").alias("date")).agg(F.count("*").alias("n"))
     return per.filter(F.col("n") >= slots_per_day).select(key, "date")
+
+
+def _slot(ts: str, start: str, step: dt.timedelta) -> Column:
+    """Number of the slot that holds a clock time, 0 at ``start`` 00:00."""
+    since = F.col(ts).cast("timestamp_ntz") - F.lit(start).cast("timestamp_ntz")
+    parts = (F.extract(F.lit(u), since).cast("decimal(20,6)") * n for u, n in (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1)))
+    return F.floor(sum(parts) / F.lit(int(step.total_seconds()))).cast("long")
+
+
+def _slot_start(number: Column, start: str, step: dt.timedelta) -> Column:
+    seconds = number * F.lit(int(step.total_seconds()))
+    return F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+
+
+def missing_intervals(df: DataFrame, key: str, ts: str, start: str, end: str, step: dt.timedelta = dt.timedelta(hours=1), registry: DataFrame | None = None) -> DataFrame:
+    """T13 as intervals: (key, gap_start, gap_end, n_slots), one row for each run of slots in which a key has no row; gap_start and gap_end
+    are its first and last slot. A slot lasts ``step``, which must divide a day. Keys are those of ``df``, with a registry its keys.
+
+    No calendar is joined: a gap lies between neighbouring slots that have rows, with a mark before the first slot and one behind the last.
+    What is sorted for a key is its distinct slots, so never more than the period has."""
+    day = dt.timedelta(days=1)
+    if step.total_seconds() % 1 or day % step:
+        raise ValueError("step must be whole seconds and divide a day")
+    n = (dt.date.fromisoformat(end) - dt.date.fromisoformat(start) + day) // step
+    known = df.filter(F.col(key).isNotNull())
+    have = known.select(key, _slot(ts, start, step).alias("_n")).filter(F.col("_n").between(0, n - 1)).distinct()
+    keys = (known if registry is None else registry.filter(F.col(key).isNotNull())).select(key).distinct()
+    if registry is not None:
+        have = have.join(keys, key, "left_semi")
+    marks = keys.select(key, F.explode(F.array(F.lit(-1), F.lit(n)).cast("array<bigint>")).alias("_n"))
+    after = F.lead("_n").over(Window.partitionBy(key).orderBy("_n"))
+    gaps = have.unionByName(marks).withColumn("_after", after).filter(F.col("_after") - F.col("_n") > 1)
+    return gaps.select(key, _slot_start(F.col("_n") + 1, start, step).alias("gap_start"), _slot_start(F.col("_after") - 1, start, step).alias("gap_end"), (F.col("_after") - F.col("_n") - 1).alias("n_slots"))
+
+
+def missing_everywhere(gaps: DataFrame, n_keys: int, step: dt.timedelta = dt.timedelta(hours=1)) -> DataFrame:
+    """(gap_start, gap_end) of the slots that all ``n_keys`` keys miss: where as many gaps are open as there are keys. Openings and
+    closings are summed by time first, so the running sum goes over at most one row for each slot of the period."""
+    length = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(step.total_seconds())).cast("decimal(18,6)"))
+    turns = F.array(F.struct(F.col("gap_start").alias("at"), F.lit(1).alias("by")), F.struct((F.col("gap_end") + length).alias("at"), F.lit(-1).alias("by")))
+    at = gaps.select(F.inline(turns)).groupBy("at").agg(F.sum("by").alias("by")).filter("by <> 0")
+    w = Window.orderBy("at")
+    run = at.withColumns({"open": F.sum("by").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "until": F.lead("at").over(w)})
+    return run.filter((F.col("open") == n_keys) & F.col("until").isNotNull()).select(F.col("at").alias("gap_start"), (F.col("until") - length).alias("gap_end"))
+
+
+def whole_days(gaps: DataFrame, step: dt.timedelta = dt.timedelta(hours=1), also: Iterable[str] = ()) -> DataFrame:
+    """(columns ``also``, date) of the days that lie wholly in a gap."""
+    length = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(step.total_seconds())).cast("decimal(18,6)"))
+    first = F.when(F.col("gap_start") == F.date_trunc("day", "gap_start").cast("timestamp_ntz"), F.to_date("gap_start")).otherwise(F.date_add(F.to_date("gap_start"), 1))
+    last = F.date_add(F.to_date(F.col("gap_end") + length), -1)
+    return gaps.select(*also, first.alias("_f"), last.alias("_l")).filter("_f <= _l").select(*also, F.explode(F.sequence("_f", "_l")).alias("date"))

@@ -6,6 +6,7 @@ events as hourly series, lineitem as dated values and overpasses, suppliers and
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import haversine_km
 from ..operators import fusion, geo, qc, temporal
-from ..sources import ingest, schemas
+from ..sources import ingest, schemas, tables
 from ..sources.scratch import scratch_path
 from ..streaming import streams
 from . import chains
@@ -207,6 +208,37 @@ def t13_days(spark, d):
     return temporal.missing_days(_missing(spark, d), "station", 24)
 
 
+# stations report nothing on these days of the month; the period is longer than the data
+_OUT = "CASE WHEN day(ts) IN (6, 7, 19) OR day(ts) = 12 AND hour(ts) >= 15 THEN NULL ELSE ts END"
+_HAVE = f"""have AS (SELECT DISTINCT station, date_trunc('hour', t) AS slot FROM (SELECT station, {_OUT} AS t FROM h) WHERE t IS NOT NULL),
+    slots AS (SELECT unnest(generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-02-02 23:00:00', INTERVAL 1 HOUR)) AS slot),
+    miss AS (SELECT k.station, slots.slot FROM (SELECT DISTINCT station FROM h) k JOIN slots ON true ANTI JOIN have ON have.station = k.station AND have.slot = slots.slot)"""
+
+
+def _gaps(spark, d):
+    h = hourly(spark, d).withColumn("ts", F.expr(_OUT))
+    return temporal.missing_intervals(h, "station", "ts", "2023-12-30", "2024-02-02")
+
+
+@query("t13_missing_intervals", f"""WITH {C_HOURLY}, {_HAVE}, r AS (SELECT *, slot - INTERVAL 1 HOUR * row_number() OVER (PARTITION BY station ORDER BY slot) AS run FROM miss)
+    SELECT station, min(slot) AS gap_start, max(slot) AS gap_end, count(*) AS n_slots FROM r GROUP BY station, run""")
+def t13_intervals(spark, d):
+    return _gaps(spark, d).select("station", "gap_start", "gap_end", "n_slots")
+
+
+_ALL_MISS = f"WITH {C_HOURLY}, {_HAVE}, everywhere AS (SELECT slot FROM slots ANTI JOIN have USING (slot))"
+
+
+@query("t13_missing_everywhere", f"{_ALL_MISS}, r AS (SELECT *, slot - INTERVAL 1 HOUR * row_number() OVER (ORDER BY slot) AS run FROM everywhere) SELECT min(slot) AS gap_start, max(slot) AS gap_end FROM r GROUP BY run")
+def t13_everywhere(spark, d):
+    return temporal.missing_everywhere(_gaps(spark, d), hourly(spark, d).select("station").distinct().count())
+
+
+@query("t13_days_missing_everywhere", f"{_ALL_MISS} SELECT CAST(slot AS DATE) AS date FROM everywhere GROUP BY 1 HAVING count(*) = 24")
+def t13_days_everywhere(spark, d):
+    return temporal.whole_days(temporal.missing_everywhere(_gaps(spark, d), hourly(spark, d).select("station").distinct().count()))
+
+
 # ---- quality control
 
 @query("q1_duplicates", "SELECT * FROM (SELECT l_orderkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) OVER (PARTITION BY l_suppkey, CAST(l_shipdate AS DATE)) AS n_in_group FROM lineitem) WHERE n_in_group > 1")
@@ -362,6 +394,28 @@ def q15(spark, d):
     return qc.review(points(spark, d), "id", checks, allowed).select("id", "status", "fails_rows", "fails_mean", "should_drop")
 
 
+# an urgent order excuses its customer's large orders from its date on, until the next urgent one
+_EXCUSE = "x AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS exception_date, max('order ' || o_orderkey) AS exception_reason FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2), bad AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_totalprice > 200000)"
+
+
+def _exceptions(spark, d):
+    o = table(spark, d, "orders").withColumn("date", F.to_date("o_orderdate"))
+    x = o.filter("o_orderpriority = '1-URGENT'").select("o_custkey", F.col("date").alias("exception_date"), F.concat(F.lit("order "), "o_orderkey").alias("exception_reason"))
+    return o.filter("o_totalprice > 200000").select("o_custkey", "o_orderkey", "date"), x
+
+
+@query("q15_dated_exceptions", f"WITH {_EXCUSE} SELECT bad.o_custkey, bad.o_orderkey, bad.date, x.exception_reason, x.exception_date FROM bad ASOF LEFT JOIN x ON x.o_custkey = bad.o_custkey AND x.exception_date <= bad.date")
+def q15_dated(spark, d):
+    bad, x = _exceptions(spark, d)
+    return qc.excused(bad, x, "o_custkey", "date")
+
+
+@query("q15_unexcused", f"WITH {_EXCUSE} SELECT o_custkey, o_orderkey, date FROM bad WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.o_custkey = bad.o_custkey AND x.exception_date <= bad.date)")
+def q15_unexcused(spark, d):
+    bad, x = _exceptions(spark, d)
+    return qc.unexcused(bad, x, "o_custkey", "date")
+
+
 # ---- geography, pairs, fusion
 
 @query("g1_snap_to_grid", f"WITH {C_POINTS}, {_CELLS} SELECT id, round(cell_lat, 6) AS cell_lat, round(cell_lon, 6) AS cell_lon FROM c")
@@ -476,6 +530,25 @@ def f3(spark, d):
     return out.select("station", "date", F.round("filled", 4).alias("filled"), "source")
 
 
+_FOLDS = "p AS (SELECT airshed, CAST(year(date) AS BIGINT) AS fold, aod AS y, tau AS x FROM base JOIN aod USING (station, date) JOIN model USING (station, date)), k AS (SELECT DISTINCT airshed, fold FROM p), c AS (SELECT k.airshed, k.fold, regr_count(y, x) AS n_fit, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM k LEFT JOIN p ON p.airshed = k.airshed AND p.fold <> k.fold GROUP BY ALL), h AS (SELECT airshed, fold, count(*) AS n, any_value(CAST(n_fit AS BIGINT)) AS n_fit, any_value(slope) AS slope, any_value(intercept) AS intercept, sqrt(avg(pow(intercept + slope * x - y, 2))) AS rmse, avg(intercept + slope * x - y) AS bias FROM p JOIN c USING (airshed, fold) GROUP BY ALL)"
+
+
+def _held_out(spark, d):
+    base, aod, model = _fusion(spark, d)
+    both = base.join(aod, ["station", "date"]).join(model, ["station", "date"]).withColumn("fold", F.year("date").cast("long"))
+    return fusion.held_out_error(both, "airshed", "fold", "aod", "tau")
+
+
+@query("f2_held_out_error", f"WITH {_BASE}, {_FOLDS} SELECT airshed, fold, n, n_fit, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(rmse, 6) AS rmse, round(bias, 6) AS bias FROM h")
+def f2_held_out(spark, d):
+    return _held_out(spark, d).select("airshed", "fold", "n", "n_fit", r6("slope"), r6("intercept"), r6("rmse"), r6("bias"))
+
+
+@query("f3_calibration_error", f"WITH {_BASE}, {_FOLDS} SELECT airshed, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_folds, round(sqrt(sum(n * rmse * rmse) / sum(n)), 6) AS rmse, round(sum(n * bias) / sum(n), 6) AS bias FROM h WHERE rmse IS NOT NULL GROUP BY airshed")
+def f3_error(spark, d):
+    return fusion.calibration_error(_held_out(spark, d), "airshed").select("airshed", "n", "n_folds", r6("rmse"), r6("bias"))
+
+
 # ---- landing and merging
 
 @query("i1_registry", f"WITH {C_POINTS} SELECT id AS location_id, round(lat, 6) AS latitude, 'Station, no. ' || id || ' \"main\"' AS name FROM p WHERE status = 'KEEP'")
@@ -512,6 +585,58 @@ def i6_wide(spark, d):
     return ingest.flatten_measurements(_pages(spark, d), "wide").select("location_id", "parameter_id", "period_label", "period_from_utc", "period_to_utc", "value")
 
 
+# a page for each order: of open orders ('P') the line is cut off, as by a broken download
+_BROKEN = "lineitem JOIN orders ON o_orderkey = l_orderkey"
+
+
+def _landed(spark, d):
+    l = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+    entry = F.expr("named_struct('value', l_quantity, 'parameter', named_struct('id', l_partkey, 'name', l_returnflag))")
+    page = F.to_json(F.struct(F.min("l_suppkey").alias("location_id"), F.col("o_orderkey").alias("sensor_id"), F.collect_list(entry).alias("results")))
+    lines = l.groupBy("o_orderkey", "o_orderstatus").agg(page.alias("j"))  # an order has few lines
+    lines = lines.select(F.expr("CASE WHEN o_orderstatus = 'P' THEN left(j, length(j) - 3) ELSE j END").alias("value"))
+    landed, good, bad = (scratch_path(spark, x) for x in ("pages", "good", "bad"))
+    lines.write.text(landed)
+    ingest.land(spark, landed, schemas.MEASUREMENTS_JSON, good, bad)
+    return good, bad
+
+
+@query("i6_quarantine_good", f"SELECT l_orderkey AS sensor_id, l_quantity AS value, l_returnflag AS parameter_name FROM {_BROKEN} WHERE o_orderstatus <> 'P'")
+def i6_good(spark, d):
+    return ingest.flatten_measurements(spark.read.parquet(_landed(spark, d)[0])).select("sensor_id", "value", "parameter_name")
+
+
+@query("i6_quarantine_bad", "SELECT DISTINCT o_orderkey AS sensor_id, true AS has_file FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'")
+def i6_bad(spark, d):
+    bad = spark.read.parquet(_landed(spark, d)[1])
+    return bad.select(F.regexp_extract("record", '"sensor_id":([0-9]+)', 1).cast("long").alias("sensor_id"), F.col("file").like("part-%").alias("has_file"))
+
+
+_CSV = "location_id bigint, name string, latitude double, longitude double, status string"
+
+
+def _landed_csv(spark, d):
+    """The registry as CSV, in which customers in debt have a latitude that is no number."""
+    rows = table(spark, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("location_id"), F.concat(F.lit('Station, "'), "c_name", F.lit('"')).alias("name"),
+        F.expr("CASE WHEN c_acctbal < 0 THEN 'n/a' ELSE CAST(c_nationkey AS STRING) END").alias("latitude"), F.lit("77.5").alias("longitude"), F.lit("KEEP").alias("status"))
+    landed, good, bad = (scratch_path(spark, x) for x in ("csv", "good", "bad"))
+    rows.write.csv(landed, header=True, quote='"', escape='"')
+    ingest.land(spark, landed, _CSV, good, bad, "csv", multiLine=True)
+    return good, bad
+
+
+@query("i1_quarantine_good", "SELECT c_custkey AS location_id, 'Station, \"' || c_name || '\"' AS name, CAST(c_nationkey AS DOUBLE) AS latitude FROM customer WHERE c_acctbal >= 0")
+def i1_good(spark, d):
+    return spark.read.parquet(_landed_csv(spark, d)[0]).select("location_id", "name", "latitude")
+
+
+@query("i1_quarantine_bad", "SELECT c_custkey AS location_id, CAST(4 AS BIGINT) AS n_read FROM customer WHERE c_acctbal < 0")
+def i1_bad(spark, d):
+    bad = spark.read.parquet(_landed_csv(spark, d)[1])
+    return bad.select(F.regexp_extract("record", "^([0-9]+),", 1).cast("long").alias("location_id"), F.col("n_read").cast("long").alias("n_read"))
+
+
 @query("i2_locations", "SELECT o_custkey AS location_id, 'c' || o_custkey AS name, array_to_string(list_sort(list_distinct(list(l_returnflag) FILTER (l_returnflag <> 'N'))), ',') AS parameters, count(*) AS sensor_count FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 0 GROUP BY o_custkey")
 def i2(spark, d):
     l = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -545,6 +670,19 @@ def i7(spark, d):
     return ingest.sensors_overlapping(s, "1997-01-01", "1997-06-30").select("l_suppkey", "l_partkey", "first_date", "last_date")
 
 
+@query("i7_sensors_in_windows", """WITH s AS (SELECT l_suppkey, l_partkey, min(CAST(l_shipdate AS DATE)) AS first_date, max(CAST(l_shipdate AS DATE)) AS last_date FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1, 2),
+    w AS (SELECT o_orderpriority, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS month, min(CAST(o_orderdate AS DATE)) AS window_start, max(CAST(o_orderdate AS DATE)) AS window_end FROM orders GROUP BY 1, 2)
+    SELECT l_suppkey, l_partkey, first_date, last_date, o_orderpriority, month, window_start, window_end FROM s JOIN w ON first_date <= window_end AND window_start <= last_date""")
+def i7_windows(spark, d):
+    iso = "date_format(l_shipdate, \"yyyy-MM-dd'T'HH:mm:ss\")"
+    s = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min(F.expr(iso)).alias("datetime_first"), F.max(F.expr(iso)).alias("datetime_last"))
+    s = s.withColumn("parameter_name", F.expr("if(l_partkey % 2 = 0, 'PM25', 'no2')"))
+    day = F.to_date("o_orderdate")
+    w = table(spark, d, "orders").groupBy("o_orderpriority", (F.year(day) * 100 + F.month(day)).cast("long").alias("month")).agg(F.min(day).alias("window_start"), F.max(day).alias("window_end"))
+    out = ingest.sensors_in_windows(s, w)
+    return out.select("l_suppkey", "l_partkey", "first_date", "last_date", "o_orderpriority", "month", "window_start", "window_end")
+
+
 def _local(spark, d):
     return table(spark, d, "events").withColumn("local", F.expr("if(event_id % 19 = 0, 'bad', concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), '+05:30'))"))
 
@@ -581,6 +719,16 @@ def i10(spark, d):
     return ingest.merge_batches(*_batches(spark, d), ["k", "day"], ["l_orderkey", "l_linenumber"]).select("k", "day", "l_orderkey", "v")
 
 
+@query("i10_incremental_merge", f"WITH {_BATCHES} SELECT k, day, l_orderkey, v FROM merged")
+def i10_incremental(spark, d):
+    """Both pulls go into a table by year, the newer one first and the older one twice."""
+    old, new = (df.withColumns({"pull": F.lit(i), "year": F.year("day")}) for i, df in enumerate(_batches(spark, d)))
+    base = scratch_path(spark, "merged")
+    for batch, rows in (("new", new), ("old", old), ("old", old)):
+        tables.merge_batch(rows, base, ["k", "day"], ["pull", "l_orderkey", "l_linenumber", "v"], ["year"], batch)
+    return tables.read_table(spark, base, old.schema).select("k", "day", "l_orderkey", "v")
+
+
 @query("i11_merge_summary", f"WITH {_BATCHES}, b AS (SELECT k, count(*) AS rows_before FROM u GROUP BY k) SELECT k, count(*) AS n_rows, min(strftime(day, '%Y-%m-%d')) AS first_local, max(strftime(day, '%Y-%m-%d')) AS last_local, any_value(rows_before) AS rows_before FROM merged JOIN b USING (k) GROUP BY k")
 def i11(spark, d):
     old, new = _batches(spark, d)
@@ -615,6 +763,16 @@ def i14_whole(spark, d):
     return ingest.sample_raster_at_points(geo.snap_to_grid(points(spark, d), "lat", "lon", 0.5, 0.625, 0.0, 0.125), px, ["cell_lat", "cell_lon"], "aod").select("id", "image_id", "aod")
 
 
+@query("i14_tiled_pixels", f"WITH {C_POINTS}, {_CELLS}, px AS (SELECT o_orderkey AS image_id, 20.25 + 0.5 * (o_orderkey % 40) AS cell_lat, 70.4375 + 0.625 * (o_custkey % 24) AS cell_lon, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS aod FROM orders) SELECT c.id, px.image_id, px.aod FROM c JOIN px ON px.cell_lat = c.cell_lat AND px.cell_lon = c.cell_lon WHERE px.aod IS NOT NULL")
+def i14_tiled(spark, d):
+    """Pixels of a region far larger than the stations' are stored by tiles of 2 degrees."""
+    px = table(spark, d, "orders").selectExpr("o_orderkey AS image_id", "cast(20.25 + 0.5 * (o_orderkey % 40) as double) AS cell_lat", "cast(70.4375 + 0.625 * (o_custkey % 24) as double) AS cell_lon", "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS aod")
+    path = scratch_path(spark, "tiles")
+    ingest.write_tiles(px, path, ["cell_lat", "cell_lon"], 2.0, ["image_id"])
+    stations = geo.snap_to_grid(points(spark, d), "lat", "lon", 0.5, 0.625, 0.0, 0.125)
+    return ingest.sample_tiles(stations, spark, path, ["cell_lat", "cell_lon"], "aod", 2.0).select("id", "image_id", "aod")
+
+
 @query("i15_cell_series", f"WITH {C_POINTS}, {_CELLS}, {_NUMBERED}, grid AS (SELECT event_id, (event_id % 3) * 0.5 + 28.25 AS cell_lat, 76.6875 + (user_id % 3) * 0.625 AS cell_lon, value FROM events) SELECT grid.event_id, k.cell_id, grid.value FROM grid JOIN (SELECT DISTINCT cell_lat, cell_lon, cell_id FROM m) k ON k.cell_lat = grid.cell_lat AND k.cell_lon = grid.cell_lon")
 def i15(spark, d):
     grid = table(spark, d, "events").selectExpr("event_id", "cast((event_id % 3) * 0.5 + 28.25 as double) AS cell_lat", "cast(76.6875 + (user_id % 3) * 0.625 as double) AS cell_lon", "value")
@@ -650,6 +808,50 @@ def s2(spark, d):
     return spark.read.schema(daily.schema).parquet(out).select("station", "date", r6("daily_mean"), "n_used")
 
 
+# the older pull has the hours before 21 January with the largest value of each, the newer one those from 10 January with the smallest
+_PULLS = """o AS (SELECT user_id AS location_id, date_trunc('hour', ts) AS h, max(value) AS value FROM events WHERE ts < TIMESTAMP '2024-01-21' GROUP BY ALL),
+    n AS (SELECT user_id AS location_id, date_trunc('hour', ts) AS h, min(value) - 1000 AS value FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL)"""
+
+
+@query("s1_old_pull_wins", f"WITH {_PULLS} SELECT location_id, strftime(h, '%Y-%m-%dT%H:%M:%SZ') AS datetime_from_utc, coalesce(o.value, n.value) AS value, CAST(CASE WHEN o.h IS NULL THEN 2 ELSE 1 END AS BIGINT) AS pull FROM o FULL JOIN n USING (location_id, h)")
+def s1_old_pull(spark, d):
+    """The newer pull lands first."""
+    entry = F.expr("named_struct('value', value, 'period', named_struct('datetimeFrom', named_struct('utc', date_format(hour, \"yyyy-MM-dd'T'HH:00:00'Z'\"))))")
+    e = table(spark, d, "events").withColumn("hour", F.date_trunc("hour", "ts"))
+    pulls = {2: e.filter("ts >= timestamp_ntz'2024-01-10'").groupBy("user_id", "hour").agg((F.min("value") - 1000).alias("value")),
+             1: e.filter("ts < timestamp_ntz'2024-01-21'").groupBy("user_id", "hour").agg(F.max("value").alias("value"))}
+    landed, base, state = (scratch_path(spark, x) for x in ("landed", "merged", "state"))
+    for number, hours in pulls.items():
+        dealt = ingest.with_chunks(hours, ["user_id"], PAGE_ROWS)
+        pages = dealt.groupBy(F.col("user_id").alias("location_id"), "_chunk").agg(F.min("user_id").alias("sensor_id"), F.collect_list(entry).alias("results")).drop("_chunk")
+        pages.write.json(f"{landed}/pull={number}")
+        streams.merge_stream(spark, landed, base, state).awaitTermination()
+    return streams.merged_measurements(spark, base).select("location_id", "datetime_from_utc", "value", F.col("pull").cast("long").alias("pull"))
+
+
+def _revised(spark, d):
+    """Purchases land after all other events."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("station"), "ts", "value", "event_type")
+    landed, base, state = (scratch_path(spark, x) for x in ("landed", "revised", "state"))
+    for late in (False, True):
+        e.filter(f"(event_type = 'purchase') = {late}").write.mode("append").parquet(landed)
+        rows = spark.readStream.schema(e.schema).parquet(landed)
+        streams.revise_stream(rows, base, state, ["station"], "ts", "value").awaitTermination()
+    return rows, base
+
+
+@query("s2_revised_daily", "SELECT user_id AS station, CAST(ts AS DATE) AS date, round(avg(value), 6) AS daily_mean, count(value) AS n_used FROM events GROUP BY 1, 2 HAVING count(value) >= 2")
+def s2_revised(spark, d):
+    rows, base = _revised(spark, d)
+    return streams.revised_daily(spark, base, rows, ["station"], "ts", "value", 2).select("station", "date", r6("daily_mean"), "n_used")
+
+
+@query("s2_late_rows", "SELECT user_id AS station, CAST(ts AS DATE) AS date, count(*) AS n_late FROM events WHERE event_type = 'purchase' AND ts < (SELECT max(ts) FROM events WHERE event_type <> 'purchase') - INTERVAL 2 DAY GROUP BY 1, 2")
+def s2_late(spark, d):
+    rows, base = _revised(spark, d)
+    return streams.late_counts(spark, base, rows, ["station"], "ts")
+
+
 # ---- chains
 
 @query("chain_ground", f"WITH {C_HOURLY}, {C_POINTS} SELECT station AS location_id, CAST(ts AS DATE) AS date, round(avg(value), 6) AS pm25_daily, count(value) AS hours_used, {SEASON_SQL.format('CAST(ts AS DATE)')} AS season FROM h WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' AND hour(ts) BETWEEN 4 AND 20 AND station <> 3 AND station IN (SELECT id FROM p WHERE status = 'KEEP') GROUP BY station, CAST(ts AS DATE) HAVING count(value) >= 1")

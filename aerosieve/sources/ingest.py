@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import local_clock
+from ..operators.intervals import overlap_join
 from . import schemas
 
 # Regions as (min lon, min lat, max lon, max lat), and the provider.
@@ -61,10 +62,10 @@ def latest_sensor_ids(latest: DataFrame, sensor: str = "sensorsId") -> DataFrame
     return latest.select(F.explode("results").alias("r")).select(F.col(f"r.{sensor}").alias("sensor_id")).filter("sensor_id is not null and sensor_id <> 0").distinct()
 
 
-def flatten_measurements(pages: DataFrame, layout: str = "narrow") -> DataFrame:
-    """One row per measurement from pages (location_id, sensor_id, results); missing structs give NULLs."""
-    r = pages.select("location_id", "sensor_id", F.explode("results").alias("r"))
-    return r.select("location_id", "sensor_id", *[F.col(f"r.{path}").alias(name) for name, path in schemas.LAYOUTS[layout].items()])
+def flatten_measurements(pages: DataFrame, layout: str = "narrow", also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per measurement from pages (location_id, sensor_id, results, columns ``also`` that are kept); missing structs give NULLs."""
+    r = pages.select("location_id", "sensor_id", *also, F.explode("results").alias("r"))
+    return r.select("location_id", "sensor_id", *also, *[F.col(f"r.{path}").alias(name) for name, path in schemas.LAYOUTS[layout].items()])
 
 
 def sensors_overlapping(sensors: DataFrame, start: str, end: str, parameter: str = "pm25") -> DataFrame:
@@ -73,6 +74,14 @@ def sensors_overlapping(sensors: DataFrame, start: str, end: str, parameter: str
     return d.filter((F.lower("parameter_name") == parameter) & (F.col("last_date") >= start) & (F.col("first_date") <= end))
 
 
+def sensors_in_windows(sensors: DataFrame, windows: DataFrame, start: str = "window_start", end: str = "window_end", parameter: str = "pm25") -> DataFrame:
+    """I7 for many windows at once: every sensor of the parameter with each window (dates) that its dates overlap, both ends included.
+    Sensors whose dates cannot be read meet none."""
+    s = sensors.filter(F.lower("parameter_name") == parameter)
+    s = s.withColumns({"first_date": F.substring("datetime_first", 1, 10).try_cast("date"), "last_date": F.substring("datetime_last", 1, 10).try_cast("date")})
+    return overlap_join(s, windows, ("first_date", "last_date"), (start, end))
+
+
 def guard_window(df: DataFrame, local: str, start: str, end: str, mode: str = "dates", parameter: str | None = None, parameter_col: str = "parameter_name") -> DataFrame:
     """I8: rows of the window by the local clock. dates: start <= date <= end. half_open: start 00:00 <= clock < end 00:00; bad times are dropped."""
     if mode not in ("dates", "half_open"):
@@ -129,11 +138,12 @@ def with_chunks(df: DataFrame, by: list[str], rows: int, chunk: str = "_chunk")
     return df.join(F.broadcast(large), same, "left").withColumn(chunk, piece).select(*df.columns, chunk)
 
 
-def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "overwrite", rows: int = FILE_ROWS) -> None:
+def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "overwrite", rows: int = FILE_ROWS, dynamic: bool = False) -> None:
     """Parquet by partition columns; rows of a partition are gathered in chunks of about ``rows``, so each directory gets
-    few files and no task a whole partition. Prefer a month to a station: thousands of stations mean as many tiny files."""
+    few files and no task a whole partition. Prefer a month to a station: thousands of stations mean as many tiny files. With ``dynamic``
+    overwriting replaces only the partitions that ``df`` has rows for."""
     df = with_chunks(df, by, rows).repartition(*by, "_chunk").drop("_chunk")
-    df.write.mode(mode).option("maxRecordsPerFile", 2 * rows).partitionBy(*by).parquet(path)
+    df.write.mode(mode).option("maxRecordsPerFile", 2 * rows).option("partitionOverwriteMode", "dynamic" if dynamic else "static").partitionBy(*by).parquet(path)
 
 
 def read_combined(spark: SparkSession, path: str) -> DataFrame:
@@ -156,3 +166,55 @@ def sample_raster_at_points(points: DataFrame, pixels: DataFrame, keys: list[str
 def cell_series(mapping: DataFrame, grid: DataFrame, cell: list[str], cell_id: str = "cell_id") -> DataFrame:
     """The grid's series of every distinct cell of the mapping, once, with its id."""
     return grid.join(mapping.select(*cell, cell_id).distinct(), cell)
+
+
+#: Columns of a permissive read beside those of the schema.
+CORRUPT, FILE = "_corrupt_record", "_file"
+
+
+def read_permissive(spark: SparkSession, path: str, schema: str, format: str = "json", **options) -> DataFrame:
+    """Landed files as they are: the columns of ``schema``, the text of a record that does not fit it (else NULL), and the file it is from."""
+    options = ({"header": True, "quote": '"', "escape": '"', "enforceSchema": True} if format == "csv" else {}) | options
+    df = spark.read.schema(f"{schema}, {CORRUPT} string").options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **options).format(format).load(path)
+    return df.select("*", F.col("_metadata.file_name").alias(FILE))
+
+
+def good_rows(df: DataFrame) -> DataFrame:
+    """Records that fit the schema, of a permissive read."""
+    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, FILE)
+
+
+def quarantined_rows(df: DataFrame) -> DataFrame:
+    """(record, file, n_read): records that do not fit, the file of each and how many of its fields could be read all the same."""
+    n_read = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in df.columns if c not in (CORRUPT, FILE)])
+    return df.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record"), F.col(FILE).alias("file"), n_read.alias("n_read"))
+
+
+def land(spark: SparkSession, path: str, schema: str, good: str, bad: str, format: str = "json", **options) -> None:
+    """Writes a landing's good rows and its quarantine as two Parquet tables; both are read with these schemas, and no record is in both or in neither."""
+    df = read_permissive(spark, path, schema, format, **options)
+    good_rows(df).write.mode("overwrite").parquet(good)
+    quarantined_rows(df).write.mode("overwrite").parquet(bad)
+
+
+def write_tiles(pixels: DataFrame, path: str, keys: list[str], degrees: float, order: list[str], rows: int = FILE_ROWS) -> None:
+    """Pixels (with their cell's centre in columns ``keys``, latitude first) by tiles of ``degrees``, each a directory, in files of about ``rows`` rows that are
+    sorted by ``order``, so that a file's statistics tell which images it has."""
+    df = pixels.filter(F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull()).withColumns(_tile(keys, degrees))
+    df = with_chunks(df, list(TILE), rows).repartition(*TILE, "_chunk").sortWithinPartitions(*TILE, *order).drop("_chunk")
+    df.write.mode("overwrite").option("maxRecordsPerFile", 2 * rows).partitionBy(*TILE).parquet(path)
+
+
+TILE = ("tile_lat", "tile_lon")
+
+
+def _tile(keys: list[str], degrees: float) -> dict[str, Column]:
+    return {t: F.floor(F.col(c) / degrees).cast("int") for t, c in zip(TILE, keys, strict=True)}
+
+
+def sample_tiles(points: DataFrame, spark: SparkSession, path: str, keys: list[str], value: str, degrees: float) -> DataFrame:
+    """I14 over tiles of :func:`write_tiles`: the same rows as :func:`sample_raster_at_points`. Spark reads only the directories of tiles that hold
+    points (dynamic partition pruning, as long as it broadcasts the points), so points of a city do not scan a continent."""
+    at = points.filter(F.col(keys[0]).between(-90, 90) & F.col(keys[1]).between(-360, 360)).withColumns(_tile(keys, degrees))
+    pixels = spark.read.parquet(path).filter(F.col(value).isNotNull())
+    return pixels.join(at, [*TILE, *keys]).drop(*TILE)
