@@ -12,7 +12,7 @@ in order of residual, each with bitmaps of its sources (one per allowed repeat)
 and clusters, and the successor search walks up from the smallest sufficient residual until the bitmaps
 allow the document; else a new bin is opened.
 
-Null or empty texts have length 1. A null source is a source of its own. Repeated ids are separate
+Null or empty texts have length 1. A null source is a source of its own. Null ids are kept beside others of any size; repeated ids are separate
 documents, equal rows too: these are dealt over all shards. An empty table gives an empty one; other columns are ignored. Equal texts are one cluster unless ``cluster_col`` is given, and a null cluster conflicts with none.
 """
 
@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import drop_stored, map_rows, stored
 
@@ -105,23 +106,27 @@ def pack(docs: DataFrame, capacity: int = 4096, per_source: int = 4, id_col: str
     each = blocks.select(*row, F.explode(F.sequence("first", F.least("n", F.col("first") + BLOCK) - 1)).alias("copy"))
     dealt = each.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", "length", "copy"), F.lit(shards)).cast("long")).drop("copy")
 
-    def group(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["length", "id", "source", "cluster"], ascending=[False, True, True, True], kind="stable", na_position="first")
-        whole, rest = (pdf["length"] // capacity).tolist(), (pdf["length"] % capacity).tolist()
-        ids, source, cluster = pdf["id"].tolist(), pdf["source"].tolist(), pdf["cluster"].tolist()
-        order = sorted((k for k in range(len(ids)) if rest[k]), key=lambda k: -rest[k])
-        placed = best_fit([(rest[k], source[k], None if pd.isna(cluster[k]) else int(cluster[k])) for k in order], capacity, per_source)
-        first = int(pdf["shard"].iloc[0]) << 32
-        rows = [(ids[k], whole[k], first + b, at, rest[k]) for k, (b, at) in zip(order, placed, strict=True)]
+    id_arrow = to_arrow_type(d.schema["id"].dataType)
+
+    def group(table):
+        # in Arrow, so that ids and clusters beside a null stay what they are; nulls come first
+        keys = [("length", "descending"), *((c, "ascending") for c in ("id", "source", "cluster"))]
+        table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
+        length, source, cluster = (table[c].to_pylist() for c in ("length", "source", "cluster"))
+        whole, rest = [n // capacity for n in length], [n % capacity for n in length]
+        order = sorted((k for k in range(len(length)) if rest[k]), key=lambda k: -rest[k])
+        placed = best_fit([(rest[k], source[k], cluster[k]) for k in order], capacity, per_source)
+        first = table["shard"][0].as_py() << 32
+        rows = [(k, whole[k], first + b, at, rest[k]) for k, (b, at) in zip(order, placed, strict=True)]
         free = max((b for b, _ in placed), default=-1) + 1
         for k, n in enumerate(whole):
             for piece in range(n):
-                rows.append((ids[k], piece, first + free, 0, capacity))
+                rows.append((k, piece, first + free, 0, capacity))
                 free += 1
-        return pd.DataFrame(rows, columns=["id", "piece", "bin_id", "bin_offset", "length"])
+        at, piece, bins, offset, size = zip(*rows, strict=True)
+        columns = [table["id"].take(pa.array(at)).cast(id_arrow), *(pa.array(v, t) for v, t in ((piece, pa.int32()), (bins, pa.int64()), (offset, pa.int32()), (size, pa.int32())))]
+        return pa.table(columns, names=["id", "piece", "bin_id", "bin_offset", "length"])
 
-    out = stored(dealt.groupBy("shard").applyInPandas(group, f"id {id_type}, piece int, bin_id long, bin_offset int, length int"), "packed")
+    out = stored(dealt.groupBy("shard").applyInArrow(group, f"id {id_type}, piece int, bin_id long, bin_offset int, length int"), "packed")
     drop_stored(d)
     return out.withColumnRenamed("id", id_col)
