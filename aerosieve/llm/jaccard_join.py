@@ -455,6 +455,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its class. Rows with a null id stay."""
+    """One row of ``docs`` for each class: that of the smallest id, and of several rows with that id the one with the smallest
+    hash over all columns. Rows with a null id stay."""
     drop = jaccard_classes(docs, id_col, text_col, n, percent).filter(F.col("component_id") != F.col(id_col)).select(id_col)
-    return docs.join(drop, id_col, "left_anti").select(docs.columns)
+    kept = docs.join(drop, id_col, "left_anti").select(docs.columns)
+    many = stored(docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col), "repeated")
+    if many.isEmpty():
+        drop_stored(many)
+        return kept
+    # equal rows are reduced before the shuffle; a minimum keeps one row at a time
+    row, mark = F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(*[F.col(c) for c in docs.columns])
+    one = kept.join(many, id_col, "left_semi").select(F.col(id_col).alias("_id"), row.alias("_row"), mark.alias("_mark")).groupBy("_id").agg(F.min_by("_row", "_mark").alias("_row"))
+    return kept.join(many, id_col, "left_anti").select(docs.columns).unionByName(one.select("_row.*"))
