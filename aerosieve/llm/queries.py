@@ -118,12 +118,6 @@ ORACLES: dict[str, str] = {
     c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
     SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (c.key IS NULL), '')) AS kept_sha256
     FROM k LEFT JOIN c USING (key) GROUP BY doc_id""",
-    # on tables of up to 500 vectors, where every list is opened, the search is exact; beyond, a test measures recall
-    "op3_nearest_neighbours": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-    g AS (SELECT vec_id, x FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
-    p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x) AS score FROM g q JOIN g c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
-    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op2_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
     g AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS n FROM v WHERE x IS NOT NULL),
     e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM g p JOIN g q ON p.vec_id < q.vec_id AND p.n > 0 AND q.n > 0 AND list_dot_product(p.x, q.x) / (p.n * q.n) >= 0.9),

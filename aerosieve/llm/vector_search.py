@@ -50,8 +50,8 @@ NEIGHBOURS = 16
 FAN = 8
 BEAM = 8
 CHUNK = 4_096
-#: Opened lists hold SPARE * k ids at least, besides the query's own.
-SPARE = 25
+#: Opened lists hold SPARE * k ids at least, besides the query's own: for isolated vectors and small groups of copies, whose nearest lists hold few.
+SPARE = 2
 
 
 def balanced_centroids(x: np.ndarray, most: int, seed: int = 1) -> np.ndarray:
