@@ -122,6 +122,24 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_recall_near_the_threshold(spark):
+    """2,000 pairs planted at cosine 0.90 to 0.93 among 5,000 vectors, and groups of exact copies."""
+    rng = np.random.default_rng(21)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    base = unit(rng.standard_normal((2500, 64)))
+    side = rng.standard_normal((2000, 64))
+    side = unit(side - (side * base[:2000]).sum(axis=1)[:, None] * base[:2000])
+    cos = rng.uniform(0.901, 0.93, 2000)[:, None]
+    v = np.concatenate([base, base[:2000] * cos + side * np.sqrt(1 - cos**2), np.repeat(base[2400:2402], 250, axis=0)])
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    want = brute_links(list(range(len(v))), v, 0.9)
+    assert all(got[i]["n_links"] <= want[i][0] for i in got)
+    planted = [*range(2000), *range(2500, 4500)]
+    assert sum(want[i][0] for i in planted) >= 4000 and sum(got[i]["n_links"] for i in planted) >= 0.98 * sum(want[i][0] for i in planted)
+    for i in (2400, 2401, *range(4500, 5000)):
+        assert (got[i]["n_links"], got[i]["component_id"]) == want[i]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     v = (rng.standard_normal((1500, 12)) * rng.uniform(0.5, 2, (1500, 1))).astype(np.float32)
@@ -362,7 +380,16 @@ def test_jaccard_odd_tables(spark):
     assert jaccard_join.jaccard_classes(empty).count() == 0
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
     assert sorted(tuple(r) for r in jaccard_join.jaccard_classes(df).collect()) == [(1, 3, 1), (2, 3, 1)]
-    assert jaccard_join.one_of_each(df).count() == 3
+    kept = sorted((tuple(r) for r in jaccard_join.one_of_each(df).collect()), key=repr)
+    assert kept == [(1, "a b c d e f"), (None, "a b c d e f")]
+    rows = [(1, "x y z", "s"), (1, "other text", "t"), (1, "x y z", None), (2, "b c", "s"), (None, None, "s"), (None, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    for parts in (1, 4):
+        kept = jaccard_join.one_of_each(df.repartition(parts))
+        assert kept.columns == df.columns and sorted((r[0] or 0) for r in kept.collect()) == [0, 0, 1, 2]
+        one = kept.filter("doc_id = 1").collect()[0]
+        assert tuple(one) in rows and (parts == 1 or one == before)
+        before = one
 
 
 def test_jaccard_blocks_stay_small_with_a_full_sketch(spark, monkeypatch):
@@ -486,6 +513,12 @@ def test_html_copies_on_unmarked_pages(spark):
     assert all(got[20 + i] == other(i) for i in range(3))
 
 
+def test_html_empty_article(spark):
+    rows = [(1, "http://a.com/x/1", "<div>Head</div><article> <nav>Menu</nav></article><p>Around the article</p>"), (2, "http://a.com/x/2", "<main></main>Rest"), (3, "http://a.com/x/3", "<p>No article</p>")]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "", 2: "", 3: "No article"}
+
+
 def test_html_self_closed_svg_and_math():
     page = '<article><p>Before <svg class="i" width="1"/> it</p><p>Sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> and <math/> after</p><svg><text>Icon</text></svg><p>Last</p></article>'
     assert html_text.page_lines(page) == (["Before it", "Sum x+1 and after", "Last"], [])
@@ -498,6 +531,8 @@ def test_html_odd_markup():
     assert lines("<article><p class='ad'>Buy</p><p>Keep</p><ul><li class=ad-box>Buy<li>Item</ul></article>") == ["Keep", "Item"]
     assert lines('<article><p>Text</p></article><article class="teaser"><p>Next</p></article>') == ["Text"]
     assert lines('<article><a href="x>y" title=\'a"b\'>Link</a> <svg a="/>"><b>no</b></svg><p data-x="1>2">P</p></article>') == ["Link", "P"]
+    assert html_text.parse("<article></article><p>Around the article</p>") == ([], ["Around the article"], True)
+    assert html_text.parse('<article class="teaser"><p>Next</p></article><p>Text</p>') == ([], ["Text"], False)
     assert lines("<article><p>" + "word " * 200_000 + "<p " + 'a="' * 50_000 + "</article>")[0].startswith("word word")
 
 
@@ -564,6 +599,19 @@ def test_best_fit_against_brute_force():
         assert packing.best_fit(items, 100, 2) == want
 
 
+def test_pack_keeps_ids_and_clusters_exact(spark):
+    big = 1 << 53
+    rows = [(big + 1, 3, "s", big + 1), (None, 3, "s", None), (big + 3, 3, None, big + 2), (None, 1, "t", big + 1), (-5, 9, "t", None)]
+    df = spark.createDataFrame(rows, "doc_id long, words int, source string, dup long")
+    out = packing.pack(df, capacity=4, length_col="words", cluster_col="dup").collect()
+    pieces = collections.Counter(r["doc_id"] for r in out)
+    assert pieces == {big + 1: 1, None: 2, big + 3: 1, -5: 3}
+    docs = spark.createDataFrame([(big + 1, "a b"), (None, "c"), (big + 3, None), (big + 5, "")], "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))
+    assert sorted(map(repr, (r["doc_id"] for r in packing.pack(docs).collect()))) == sorted(map(repr, (big + 1, None, big + 3, big + 5)))
+    names = spark.createDataFrame([("x", "a"), (None, "b"), ("y", "c")], "doc_id string, text string").withColumn("source", F.lit("s"))
+    assert {r["doc_id"] for r in packing.pack(names).collect()} == {"x", None, "y"}
+
+
 def test_pack_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c", "s")], "doc_id long, text string, source string").select("*", F.explode(F.sequence(F.lit(1), F.lit(20_000))).alias("copy"))
     got = packing.pack(df, capacity=100, per_source=2)
