@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, map_rows, stored
 
-CACHE = 300_000
-BLOCK_UNITS = 1 << 19
+CACHE = 200_000
+BLOCK_UNITS = 1 << 18
 #: Words that are encoded together.
 JOINED = 128
 HOT_PAIRS = 1 << 20
