@@ -232,18 +232,28 @@ def fit(docs: DataFrame, labels: DataFrame, counts: dict[int, int]) -> tuple:
     return models, fit_curve(x, y.astype(float), share * len(y) / share.sum())
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_docs: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (doc_id if not given), score double, predicted int for every row of ``docs``, repeated and null ids included.
-    ``labels`` (doc_id, toxic): held-out ids are left out here. ``train_docs``: texts of
-    the labelled rows, ``docs`` itself if not given."""
-    models, curve = fit(docs if train_docs is None else train_docs, label_sample(labels, "toxic", MAX_ROWS), label_counts(labels, "toxic"))
-    keep = keep or ["doc_id"]
+def _scored(docs: DataFrame, labels: DataFrame, train_docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and SCORE for every row of ``docs``."""
+    models, curve = fit(train_docs, label_sample(labels, "toxic", MAX_ROWS), label_counts(labels, "toxic"))
     if models is None:
-        return docs.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select(*keep, F.lit(0.0).alias(SCORE))
     mean, spread, w = curve
     z = F.lit(float(w[-1]))
     for i in range(len(mean)):
         z = z + (F.col(f"{EVIDENCE}{i}") - float(mean[i])) * float(w[i] / spread[i])
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))
-    scored = _evidence_rows(docs, models, keep).withColumn(SCORE, score)
+    return _evidence_rows(docs, models, keep).select(*keep, score.alias(SCORE))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_docs: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (doc_id if not given; not score or predicted), score double, predicted int for every row of ``docs``, repeated and null ids included.
+    ``labels`` (doc_id, toxic): held-out ids are left out here. ``train_docs``: texts of
+    the labelled rows, ``docs`` itself if not given."""
+    keep = keep or ["doc_id"]
+    scored = _scored(docs, labels, docs if train_docs is None else train_docs, keep)
     return scored.select(*keep, F.col(SCORE).alias("score"), (F.col(SCORE) >= threshold).cast("int").alias("predicted"))
+
+
+def clean_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` with a score under the threshold, all columns, whatever their names."""
+    return _scored(docs, labels, docs, docs.columns).filter(F.col(SCORE) < threshold).select(docs.columns)
