@@ -13,13 +13,12 @@ from aerosieve.llm.common import read, stored
 from aerosieve.llm.jaccard_join import one_of_each
 from aerosieve.llm.packing import pack
 from aerosieve.llm.quality import resample_rows
-from aerosieve.llm.toxicity import score_toxicity
+from aerosieve.llm.toxicity import clean_rows
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.7."""
-    scored = score_toxicity(docs, read(spark, sf_dir, "labels"), threshold=0.7, keep=docs.columns)
-    return scored.filter("predicted = 0").select(docs.columns)
+    return clean_rows(docs, read(spark, sf_dir, "labels"), threshold=0.7)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each class of five-word Jaccard similarity 0.8 or more."""
+    """One document (the smallest id, one row of it) of each class of five-word Jaccard similarity 0.8 or more."""
     return one_of_each(docs, n=5, percent=80)
 
 
