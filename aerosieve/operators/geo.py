@@ -143,27 +143,82 @@ def pair_correlation(pairs: DataFrame, daily: DataFrame, key: str, date: str, va
     return out.filter(F.col("matched_days") >= min_days)
 
 
-def nearest_neighbour(points: DataFrame, id_col: str, lat: str, lon: str, k: int = 1, start_km: float = 4.0, risk_km: tuple[float, float] = (1.0, 1.5), max_rounds: int = 20) -> DataFrame:
+#: Levels of cells for nearest neighbours: the cube around the globe is halved so many times (3 m).
+DEPTH = 22
+#: Distances are compared as rounded to the metre, so what is nearer than the k-th by less than this may still take its place.
+ROUNDED_KM = 0.001
+
+
+def _places(points: DataFrame, k: int) -> DataFrame:
+    """(lat, lon, key, ids, v, at): each place once, with its k + 1 smallest ids, its unit vector and its cell at the deepest level."""
+    first = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("id"))
+    d = points.withColumn("_r", first).filter(F.col("_r") <= k + 1).groupBy("lat", "lon").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    la, lo = F.radians("lat"), F.radians("lon")
+    v = F.array(F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la))
+    at = F.transform("v", lambda c: F.greatest(F.lit(0), F.least(F.lit((1 << DEPTH) - 1), F.floor((c + 1) * (1 << (DEPTH - 1))))).cast("int"))
+    return d.withColumn("key", F.col("ids")[0]).withColumn("v", v).withColumn("at", at)
+
+
+def _cell(level: str) -> list[Column]:
+    return [F.expr(f"shiftright(at[{i}], {DEPTH} - {level})").alias(f"c{i}") for i in range(3)]
+
+
+def _bounds(places: DataFrame, k: int) -> DataFrame:
+    """``places`` with the level and the chord that the k nearest ids of each are within: the diagonal of the smallest cell around it that
+    holds more than k ids. The whole globe where there are no more."""
+    each = places.select("key", "ids", "at", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("level"))
+    cells = ["level", "c0", "c1", "c2"]
+    full = each.select("level", *_cell("level"), F.size("ids").alias("n")).groupBy(*cells).agg(F.sum("n").alias("n")).filter(F.col("n") > k).select(*cells)
+    deepest = each.select("key", "level", *_cell("level")).join(full, cells).groupBy("key").agg(F.max("level").alias("level"))
+    chord = F.when(F.col("level") > 0, math.sqrt(3) * F.pow(F.lit(2.0), 1 - F.col("level")) * (1 + 1e-9)).otherwise(4.0)
+    return places.join(deepest, "key", "left").withColumn("chord", F.coalesce(chord, F.lit(4.0)))
+
+
+def _candidates(places: DataFrame, k: int) -> DataFrame:
+    """(key, ids_b, d): for each place all places, itself included, that its k nearest ids can be at.
+
+    A place asks at the level above that of its bound, where the ball lies in a few cells. Where points are dense, cells are small. Of the places
+    that ask at one level, few can share a cell, or they would have found smaller ones: so a dense city is not met by
+    many places from around it, and all pairs of a cell never meet."""
+    bound = _cut(_bounds(places, k))
+    grid = F.greatest(F.col("level") - 1, F.lit(0)).cast("int")
+    reach = F.col("chord") + ROUNDED_KM / EARTH_KM
+    asked = bound.withColumn("g", F.coalesce(grid, F.lit(0)))
+    last = F.expr("shiftleft(1, g) - 1")
+
+    def side(i: int) -> Column:
+        cell = lambda c: F.greatest(F.lit(0), F.least(last, F.floor((c + 1) / 2 * F.pow(F.lit(2.0), F.col("g"))).cast("int")))
+        return F.sequence(cell(F.col("v")[i] - reach), cell(F.col("v")[i] + reach))
+
+    probe = asked.select("key", "lat", "lon", "chord", "g", *[side(i).alias(f"s{i}") for i in range(3)])
+    for i in range(3):
+        probe = probe.withColumn(f"c{i}", F.explode(f"s{i}")).drop(f"s{i}")
+    levels = [r[0] for r in asked.select("g").distinct().collect()]  # DEPTH + 1 numbers at most
+    shown = places.select(F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("ids").alias("ids_b"), "at", F.explode(F.array(*[F.lit(g) for g in levels]).cast("array<int>")).alias("g"))
+    met = probe.join(shown.select("lat_b", "lon_b", "ids_b", "g", *_cell("g")), ["g", "c0", "c1", "c2"])
+    within = 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.col("chord") / 2)) + ROUNDED_KM
+    return met.withColumn("d", haversine_km("lat", "lon", "lat_b", "lon_b")).filter(F.col("d") <= within).select("key", "ids_b", "d")
+
+
+def nearest_neighbour(points: DataFrame, id_col: str, lat: str, lon: str, k: int = 1, risk_km: tuple[float, float] = (1.0, 1.5)) -> DataFrame:
     """The k nearest other points of each point: (id, rank, neighbour, nn_km, pixel_risk).
 
-    Points are joined with those within a radius; points that have fewer than k go on, alone, with
-    twice the radius, up to half the globe, so a far point meets the others once a round but they don't meet each other again. Distances are rounded to 3; ties go to the smaller id. pixel_risk: YES within the first limit, BORDERLINE within the second.
-    """
-    p = points.select(F.col(id_col).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).filter("id is not null and lat is not null and lon is not null")
-    radius, found, todo = start_km, None, p
-    last = math.pi * EARTH_KM * 1.001
-    for _ in range(max_rounds):
-        met = _near(todo, p, radius).filter(F.col("id_a") != F.col("id_b")).select(F.col("id_a").alias("id"), F.col("id_b").alias("neighbour"), F.col("distance_km").alias("nn_km"))
-        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("nn_km", "neighbour"))).filter(F.col("rank") <= k)
-        ranked = _cut(ranked.withColumn("n", F.count("*").over(Window.partitionBy("id"))))
-        enough = ranked if radius >= last else ranked.filter(F.col("n") >= k)
-        found = enough if found is None else found.unionByName(enough)
-        todo = _cut(todo.join(enough.select("id").distinct(), "id", "left_anti"))
-        if radius >= last or todo.isEmpty():
-            break
-        radius = min(radius * 2, last)
+    Exact for any density: an octree of the globe tells from counts alone how far the k nearest can be, and each place meets
+    only the cells within that distance. Points at one place are one place with its k + 1 smallest ids, which are all that can be among
+    anyone's k nearest. Distances are rounded to 3; ties go to the smaller id. Of several rows of an id the one farthest south (then west) counts; points without an id or
+    coordinates are left out. pixel_risk: YES within the first limit, BORDERLINE within the second."""
+    p = points.select(F.col(id_col).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
+    p = p.filter("id is not null and lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").groupBy("id").agg(F.min(F.struct("lat", "lon")).alias("p")).select("id", "p.lat", "p.lon")
+    p = _cut(p)
+    places = _cut(_places(p, k))
+    near = _candidates(places, k).select("key", F.explode("ids_b").alias("neighbour"), round_even("d", 3).alias("nn_km"))
+    first = F.row_number().over(Window.partitionBy("key").orderBy("nn_km", "neighbour"))
+    best = near.withColumn("_r", first).filter(F.col("_r") <= k + 1).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("nn_km", "neighbour"))).alias("best"))
+    of = p.join(places.select("lat", "lon", "key"), ["lat", "lon"]).join(best, "key")
+    others = F.slice(F.filter("best", lambda b: b["neighbour"] != F.col("id")), 1, k)
+    out = of.select("id", F.posexplode(others).alias("at", "b")).select(F.col("id").alias(id_col), (F.col("at") + 1).alias("rank"), "b.neighbour", "b.nn_km")
     risk = F.when(F.col("nn_km") < risk_km[0], "YES").when(F.col("nn_km") < risk_km[1], "BORDERLINE")
-    return found.select(F.col("id").alias(id_col), "rank", "neighbour", "nn_km", risk.alias("pixel_risk"))
+    return out.withColumn("pixel_risk", risk)
 
 
 def broadcast_cells_to_stations(mapping: DataFrame, cell_daily: DataFrame, cell: str) -> DataFrame:

@@ -4,6 +4,8 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,13 +283,60 @@ def test_landed_pages_are_bounded(spark, monkeypatch):
     assert rows and pages.sum() == 2 * rows and pages.max() < 50  # two pulls of every hour
 
 
-def test_nearest_neighbour_widens_for_far_points_only(spark, monkeypatch):
-    pts = [(i, 28.0 + (i % 20) * 0.01, 77.0 + (i // 20) * 0.01) for i in range(400)] + [(1000, -40.0, -60.0)]
-    asked = []
-    real = geo._near
-    monkeypatch.setattr(geo, "_near", lambda a, p, r: asked.append(a.count()) or real(a, p, r))
-    got = geo.nearest_neighbour(spark.createDataFrame(pts, "id int, lat double, lon double"), "id", "lat", "lon", k=1).collect()
-    assert len(got) == 401 and asked[0] == 401 and set(asked[1:]) == {1}
+def _km(a, b):
+    la, lo, lb, lp = (np.radians(x) for x in (a[..., 0], a[..., 1], b[..., 0], b[..., 1]))
+    h = np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin((lp - lo) / 2) ** 2
+    return 2 * 6371.0 * np.arcsin(np.minimum(1, np.sqrt(h)))
+
+
+def _nearest(at, ids, some, k):
+    """{id: [(km, id)]} by all distances."""
+    out = {}
+    for i in some:
+        d = np.rint(_km(at[i][None], at) * 1000) / 1000
+        d[i] = np.inf
+        order = np.lexsort((ids, d))[:k]
+        out[int(ids[i])] = [(float(d[j]), int(ids[j])) for j in order if np.isfinite(d[j])]
+    return out
+
+
+def _found(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["id"], []).append((r["rank"], r["nn_km"], r["neighbour"]))
+    return {i: [x[1:] for x in sorted(v)] for i, v in out.items()}
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_neighbour_property(spark, k):
+    rng = np.random.default_rng(k)
+    parts = [np.column_stack([rng.normal(28.6, 0.001, 150), rng.normal(77.2, 0.001, 150)]), np.column_stack([rng.uniform(27, 30, 80), rng.uniform(75, 79, 80)]),
+             np.column_stack([90 - np.abs(rng.normal(0, 0.01, 30)), rng.uniform(-180, 180, 30)]), np.column_stack([rng.normal(0, 0.01, 30), (rng.normal(180, 0.01, 30) + 180) % 360 - 180]),
+             np.repeat([[10.0, 10.0]], 40, axis=0), [[-90.0, 0.0], [-40.0, -60.0], [28.6, 77.2]], np.column_stack([rng.normal(28.6, 1e-7, 40), np.full(40, 77.25)])]
+    at = np.concatenate(parts)
+    ids = rng.permutation(len(at)) * 3
+    odd = [(90_000, None, 1.0), (90_001, float("nan"), 1.0), (None, 28.6, 77.2)]
+    rows = [(int(i), float(a), float(b)) for i, (a, b) in zip(ids, at)]
+    df = spark.createDataFrame(rows + rows[:20] + odd, "id long, lat double, lon double")
+    assert _found(geo.nearest_neighbour(df, "id", "lat", "lon", k=k)) == _nearest(at, ids, range(len(at)), k)
+    few = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 90.0)], "id long, lat double, lon double")
+    assert {i: [n for _, n in v] for i, v in _found(geo.nearest_neighbour(few, "id", "lat", "lon", k=5)).items()} == {1: [2], 2: [1]}
+    assert geo.nearest_neighbour(few.limit(0), "id", "lat", "lon").count() == 0 and geo.nearest_neighbour(few.limit(1), "id", "lat", "lon").count() == 0
+
+
+def test_nearest_neighbour_in_a_dense_city(spark):
+    """100,000 points within 4 km and 300 around them: far fewer candidates than pairs, results exact."""
+    rng = np.random.default_rng(8)
+    at = np.concatenate([np.column_stack([rng.uniform(28.60, 28.636, 100_000), rng.uniform(77.20, 77.241, 100_000)]), np.column_stack([rng.uniform(28.0, 29.2, 300), rng.uniform(76.6, 77.8, 300)])])
+    ids = np.arange(len(at))
+    df = spark.createDataFrame(pd.DataFrame({"id": ids, "lat": at[:, 0], "lon": at[:, 1]}))
+    p = df.groupBy("id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
+    near = geo._candidates(geo._cut(geo._places(p, 1)), 1)
+    n = near.groupBy("key").count().agg(F.sum("count"), F.max("count")).first()
+    assert n[0] < 200 * len(at) and n[1] <= len(at)
+    some = [*range(0, 100_000, 997), *range(100_000, 100_300)]
+    got = _found(geo.nearest_neighbour(df, "id", "lat", "lon", k=1).filter(F.col("id").isin([int(ids[i]) for i in some])))
+    assert got == _nearest(at, ids, some, 1)
 
 
 def test_clusters_are_numbered_over_all_partitions(spark):
