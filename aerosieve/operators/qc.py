@@ -85,7 +85,11 @@ def runs(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
 
 
 def stuck_runs(df: DataFrame, key: str, order: list[str], value: str, min_run: int = 3) -> DataFrame:
-    """Q5: for each key with runs of at least ``min_run``: runs, rows in them, longest."""
+    """Q5: for each key with runs of at least ``min_run``: runs, rows in them, longest. Along a time or date, keys are cut into days or
+    months (:func:`stuck_runs_bucketed`), so no key is sorted in one task; along anything else they are sorted whole."""
+    kind = df.schema[order[0]].dataType.simpleString()
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return stuck_runs_bucketed(df, key, order, value, F.trunc(order[0], "month") if kind == "date" else F.to_date(order[0]), min_run)
     long_runs = runs(df, key, order, value).filter(F.col("run_length") >= min_run)
     return long_runs.groupBy(key).agg(F.count("*").alias("n_runs"), F.sum("run_length").alias("rows_in_runs"), F.max("run_length").alias("longest_run"))
 
@@ -104,7 +108,7 @@ def stuck_runs_bucketed(df: DataFrame, key: str, order: list[str], value: str, b
     inner = edge.filter(~F.col("_edge") & (F.col("n") >= min_run)).select(key, F.col("n").alias("run_length"))
     k = Window.partitionBy(key).orderBy("_bucket", "_run")
     ends = edge.filter("_edge")
-    joins = F.coalesce((F.col("v") == F.lag("v").over(k)) & (F.col("_bucket") != F.lag("_bucket").over(k)), F.lit(False))
+    joins = F.coalesce((F.col("v") == F.lag("v").over(k)) & ~F.col("_bucket").eqNullSafe(F.lag("_bucket").over(k)), F.lit(False))
     ends = ends.withColumn("_new", (~joins).cast("int")).withColumn("_g", F.sum("_new").over(k.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     outer = ends.groupBy(key, "_g").agg(F.sum("n").alias("run_length")).filter(F.col("run_length") >= min_run).select(key, "run_length")
     return inner.unionByName(outer).groupBy(key).agg(F.count("*").alias("n_runs"), F.sum("run_length").alias("rows_in_runs"), F.max("run_length").alias("longest_run"))

@@ -376,6 +376,12 @@ def q13(spark, d):
     return wide.select("id", F.col("cell_id").cast("long").alias("cell_id"))
 
 
+@query("q13_unmapped_cells", f"WITH {C_POINTS}, {_CELLS}, {_NUMBERED} SELECT DISTINCT CAST(user_id % 12 AS BIGINT) AS cell_id FROM events WHERE user_id % 12 NOT IN (SELECT cell_id FROM m)")
+def q13_unmapped(spark, d):
+    cells = table(spark, d, "events").select((F.col("user_id") % 12).cast("long").alias("cell_id"))
+    return qc.unmapped_cells(cells, mapping(spark, d).select(F.col("cell_id").cast("long").alias("cell_id")), "cell_id")
+
+
 @query("q14_keep_registered", f"WITH {C_DATED}, {C_POINTS} SELECT station, l_orderkey, price FROM d WHERE station IN (SELECT id FROM p WHERE status = 'KEEP')")
 def q14(spark, d):
     return qc.keep_registered(dated(spark, d), points(spark, d).withColumnRenamed("id", "station"), "station").select("station", "l_orderkey", "price")
@@ -551,6 +557,9 @@ def f3_error(spark, d):
 
 # ---- landing and merging
 
+PAGE_ROWS = 1_000  # entries of a landed page, about
+
+
 @query("i1_registry", f"WITH {C_POINTS} SELECT id AS location_id, round(lat, 6) AS latitude, 'Station, no. ' || id || ' \"main\"' AS name FROM p WHERE status = 'KEEP'")
 def i1(spark, d):
     empty = {f.name for f in spark.createDataFrame([], schemas.REGISTRY).schema} - {"location_id", "name", "latitude", "longitude", "status"}
@@ -639,11 +648,12 @@ def i1_bad(spark, d):
 
 @query("i2_locations", "SELECT o_custkey AS location_id, 'c' || o_custkey AS name, array_to_string(list_sort(list_distinct(list(l_returnflag) FILTER (l_returnflag <> 'N'))), ',') AS parameters, count(*) AS sensor_count FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 0 GROUP BY o_custkey")
 def i2(spark, d):
-    l = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    l = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_orderkey", "l_linenumber", "l_returnflag")
     sensors = F.collect_list(F.expr("named_struct('id', l_orderkey, 'parameter', if(l_returnflag = 'N', null, named_struct('name', l_returnflag)))"))
-    loc = l.groupBy("o_custkey").agg(sensors.alias("s")).select("o_custkey", F.expr("array(named_struct('id', o_custkey, 'name', concat('c', o_custkey), 'provider', named_struct('id', if(o_custkey % 3 = 0, 168, 1), 'name', 'CPCB'), 'sensors', s))").alias("results"))
+    # a customer with very many lines fills several pages
+    loc = ingest.with_chunks(l, ["o_custkey"], PAGE_ROWS).groupBy("o_custkey", "_chunk").agg(sensors.alias("s")).select("o_custkey", F.expr("array(named_struct('id', o_custkey, 'name', concat('c', o_custkey), 'provider', named_struct('id', if(o_custkey % 3 = 0, 168, 1), 'name', 'CPCB'), 'sensors', s))").alias("results"))
     pages = loc.select(F.from_json(F.to_json(F.struct("results")), schemas.LOCATIONS_JSON).alias("p")).select("p.*")
-    return ingest.flatten_locations(pages).select("location_id", "name", "parameters", F.col("sensor_count").cast("long").alias("sensor_count"))
+    return ingest.join_location_pages(ingest.flatten_locations(pages)).select("location_id", "name", "parameters", F.col("sensor_count").cast("long").alias("sensor_count"))
 
 
 @query("i3_in_bbox", f"WITH {C_POINTS} SELECT id FROM p WHERE lon BETWEEN 76.9895 AND 77.1731 AND lat BETWEEN 28.3194 AND 28.5135")
@@ -750,6 +760,15 @@ def i13(spark, d):
     return ingest.read_combined(spark, path).select("user_id", "event_id", "value", F.col("month").cast("long").alias("month"))
 
 
+@query("i13_station_csvs", "SELECT CAST(c_nationkey AS BIGINT) AS location_id, c_custkey, round(c_acctbal, 2) AS value FROM customer")
+def i13_csvs(spark, d):
+    """A folder for each station (nation), with its rows as CSV."""
+    path = scratch_path(spark, "csvs")
+    rows = table(spark, d, "customer").select("c_nationkey", "c_custkey", F.col("c_acctbal").alias("value"))
+    ingest.with_chunks(rows, ["c_nationkey"], ingest.FILE_ROWS).repartition("c_nationkey", "_chunk").drop("_chunk").write.partitionBy("c_nationkey").csv(path, header=True)
+    return ingest.read_station_csvs(spark, path, "c_custkey bigint, value double", r"c_nationkey=(\d+)/").select("location_id", "c_custkey", F.round("value", 2).alias("value"))
+
+
 @query("i14_sample_raster", f"WITH {C_POINTS}, {_CELLS}, px AS (SELECT o_orderkey AS image_id, (o_orderkey % 3) * 0.5 + 28.25 AS cell_lat, 76.6875 + (o_custkey % 3) * 0.625 AS cell_lon, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS aod FROM orders) SELECT c.id, px.image_id, px.aod FROM c JOIN px ON px.cell_lat = c.cell_lat AND px.cell_lon = c.cell_lon WHERE px.aod IS NOT NULL")
 def i14(spark, d):
     px = table(spark, d, "orders").selectExpr("o_orderkey AS image_id", "cast((o_orderkey % 3) * 0.5 + 28.25 as double) AS cell_lat", "cast(76.6875 + (o_custkey % 3) * 0.625 as double) AS cell_lon", "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS aod")
@@ -781,8 +800,6 @@ def i15(spark, d):
 
 # ---- streaming
 
-PAGE_ROWS = 1_000  # measurements of a landed page, about
-
 
 # a pull that repeats hours already there has the same values, so whichever arrives first is the one
 @query("s1_ingest_stream", "SELECT user_id AS location_id, strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS datetime_from_utc, max(value) AS value FROM events GROUP BY ALL")
@@ -869,3 +886,44 @@ _AOD = f"b2 AS (SELECT location_id, date, CASE WHEN aod_055 <> -28672 THEN aod_0
 def chain_overpass(spark, d):
     out = chains.overpass_daily(overpass(spark, d), points(spark, d).withColumnRenamed("id", "location_id"), chains.OverpassConfig(SCALES))
     return out.select("location_id", "date", r6("aod_055"), r6("aod_047"), "n_overpasses", "season")
+
+
+_MODEL = """e AS (SELECT m.cell_id, date_trunc('hour', ts) AS h, value AS v FROM events JOIN m ON m.id = user_id),
+    hf AS (SELECT cell_id, h, v, row_number() OVER (PARTITION BY cell_id, h ORDER BY v) AS r FROM e WHERE hour(h) BETWEEN 4 AND 20),
+    md AS (SELECT cell_id, CAST(h AS DATE) AS date, avg(v) AS tau, count(v) AS n FROM hf WHERE r = 1 AND v BETWEEN 0 AND 200 GROUP BY ALL HAVING count(v) >= 2)"""
+
+
+def _model(spark, d):
+    """Events of a station as the hourly series of its cell; stations of a cell give repeated hours."""
+    m = mapping(spark, d).withColumnRenamed("id", "location_id")
+    zone = F.unix_millis(F.lit("1970-01-01").cast("timestamp_ntz").cast("timestamp"))
+    hour = F.unix_millis(F.date_trunc("hour", "ts").cast("timestamp")) - zone
+    e = table(spark, d, "events").join(m, F.col("user_id") == F.col("location_id"))
+    hourly_cells = e.select("cell_id", F.col("cell_lat").alias("latitude"), F.col("cell_lon").alias("longitude"), hour.alias("time"), F.col("value").alias("TOTEXTTAU"))
+    return chains.model_daily(hourly_cells, m, config=chains.ModelConfig(hours=tuple(range(4, 21)), high=200.0))
+
+
+@query("chain_model", f"WITH {C_POINTS}, {_CELLS}, {_NUMBERED}, {_MODEL} SELECT m.id AS location_id, CAST(m.cell_id AS BIGINT) AS cell_id, md.date, round(md.tau, 6) AS totexttau, md.n AS n_hours_available FROM m JOIN md ON md.cell_id = m.cell_id")
+def chain_model(spark, d):
+    return _model(spark, d).select("location_id", F.col("cell_id").cast("long").alias("cell_id"), "date", r6("totexttau"), "n_hours_available")
+
+
+# overpasses of the month of the events
+_JANUARY = [x if not x.endswith("AS date") else "DATE '2024-01-01' + CAST(l_orderkey % 31 AS INT) AS date" for x in OVERPASS]
+_FUSED = f"""WITH {_cte("o", _JANUARY, "lineitem")}, {C_HOURLY}, {C_POINTS}, {_CELLS}, {_NUMBERED}, {_BITS}, {_AOD}, {_MODEL},
+    ground AS (SELECT station AS location_id, CAST(ts AS DATE) AS date, avg(value) AS pm FROM h WHERE hour(ts) BETWEEN 4 AND 20 AND station IN (SELECT id FROM p WHERE status = 'KEEP') GROUP BY 1, 2 HAVING count(value) >= 2),
+    aod AS (SELECT location_id, date, avg(a55) AS aod FROM b2 GROUP BY 1, 2),
+    model AS (SELECT m.id AS location_id, m.cell_id, md.date, md.tau FROM m JOIN md ON md.cell_id = m.cell_id),
+    fit AS (SELECT cell_id, regr_slope(aod, tau) AS slope, regr_intercept(aod, tau) AS intercept FROM aod JOIN model USING (location_id, date) GROUP BY cell_id HAVING regr_count(aod, tau) >= 2)"""
+
+
+@query("chain_fused", f"""{_FUSED} SELECT location_id, date, round(pm, 6) AS pm25_daily, round(coalesce(aod, intercept + slope * tau), 4) AS filled,
+    CASE WHEN aod IS NOT NULL THEN 'maiac' WHEN intercept + slope * tau IS NOT NULL THEN 'merra2_gapfilled' END AS aod_source
+    FROM ground LEFT JOIN aod USING (location_id, date) LEFT JOIN model USING (location_id, date) LEFT JOIN fit USING (cell_id)""")
+def chain_fused(spark, d):
+    registry = points(spark, d).withColumnRenamed("id", "location_id")
+    hours = hourly(spark, d).select(F.col("station").alias("location_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+05:30'").alias("datetime_from_local"), "value")
+    ground = chains.ground_daily(hours, registry, chains.GroundConfig("2024-01-01", "2024-01-31", tuple(range(4, 21)), (), 2))
+    aod = chains.overpass_daily(table(spark, d, "lineitem", _JANUARY), registry, chains.OverpassConfig(SCALES))
+    out = chains.fused(ground, aod, _model(spark, d), "cell_id")
+    return out.select("location_id", "date", r6("pm25_daily"), F.round("filled", 4).alias("filled"), "aod_source")

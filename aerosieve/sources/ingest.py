@@ -44,6 +44,13 @@ def flatten_locations(pages: DataFrame, provider_id: int = PROVIDER_ID, provider
         F.col("r.datetimeFirst.local").alias("datetime_first"), F.col("r.datetimeLast.local").alias("datetime_last"))
 
 
+def join_location_pages(locations: DataFrame) -> DataFrame:
+    """Locations whose sensors came on several pages, as one row each: parameters of all, sensors added up. Other columns must agree."""
+    same = [c for c in locations.columns if c not in ("parameters", "sensor_count")]
+    names = F.filter(F.array_distinct(F.flatten(F.collect_set(F.split("parameters", ",")))), lambda n: n != "")
+    return locations.groupBy(*same).agg(F.array_join(F.array_sort(names), ",").alias("parameters"), F.sum("sensor_count").cast("int").alias("sensor_count")).select(locations.columns)
+
+
 def in_bbox(df: DataFrame, lat: str, lon: str, box: str | tuple[float, float, float, float]) -> DataFrame:
     """Points within a region's box, edges included."""
     w, s, e, n = REGIONS[box] if isinstance(box, str) else box

@@ -97,6 +97,32 @@ def test_stuck_runs_property(spark):
         assert {r["k"]: (r["n_runs"], r["rows_in_runs"], r["longest_run"]) for r in b.collect()} == want
 
 
+def test_stuck_runs_along_time(spark):
+    """Times and dates are cut into buckets; runs across midnights and months stay whole, also where times are NULL or tied."""
+    rng = random.Random(6)
+    start = dt.datetime(2025, 1, 30)
+    series = [(k, t, rng.choice([None, 1.0, 1.0, 2.0])) for k in range(5) for t in range(200)] + [(9, t, 7.0) for t in range(400)]
+    want = _stuck(series, 3)
+    df = spark.createDataFrame([(k, start + dt.timedelta(hours=5 * t), start.date() + dt.timedelta(days=t), t, v) for k, t, v in series], "k int, ts timestamp_ntz, d date, t int, v double")
+    for order in (["ts", "t"], ["d", "t"], ["t"]):
+        got = {r["k"]: (r["n_runs"], r["rows_in_runs"], r["longest_run"]) for r in qc.stuck_runs(df, "k", order, "v").collect()}
+        assert got == want and got[9] == (1, 400, 400)
+    late = df.withColumn("ts", F.when(F.col("t") >= 10, F.col("ts")))  # ten rows without a time come first
+    assert {r["k"]: r["n_runs"] for r in qc.stuck_runs(late, "k", ["ts", "t"], "v").collect()} == {k: w[0] for k, w in want.items()}
+
+
+def test_first_of_a_hot_key_is_found_before_the_shuffle(spark):
+    df = spark.range(1000).selectExpr("if(id < 900, null, id) AS k", "id AS t")
+    for out in (ingest.keep_first(df, ["k"], ["t"]), qc.dedup_keep_first(df, ["k"], ["t"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" in plan and out.filter("k is null").collect()[0]["t"] == 0
+
+
+def test_location_pages(spark):
+    df = spark.createDataFrame([(1, "a", "no2,pm25", 2), (1, "a", "o3,pm25", 3), (2, None, "", 0), (2, None, "", 1)], "location_id long, name string, parameters string, sensor_count int")
+    assert rows(ingest.join_location_pages(df)) == [(1, "a", "no2,o3,pm25", 5), (2, None, "", 1)]
+
+
 def test_range_duplicates_zero(spark):
     df = spark.createDataFrame([(1, 0.0), (2, -0.01), (3, 1000.0), (4, 1000.01), (5, None), (6, math.nan), (None, 5.0), (None, 5.0)], "k int, v double")
     assert rows(qc.range_report(df, "v").select("k", "violation")) == [(2, "below"), (4, "above")]
