@@ -37,18 +37,34 @@ DOMAINS = ["com", "net", "org", "example.com", "example.net", "example.org", "de
 PATHS = ["/", "/en/{}", "/de/{}.html", "/fr/{}/", "/index.html", "/a/{}?x=1", "/es/{}#top", ""]
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """(url, label 1 block / 0 allow): every word with each kind of domain, and invented names."""
+#: What names are put together from besides the words, in both classes alike, so that it says nothing by itself.
+COMPANIONS = ["hub", "shop", "online", "best", "free", "my", "the", "top", "world", "24", "club", "zone", "land", "store", "center", "live", "pro", "info", "portal", "city", "daily", "home", "now", "videos", "place", "group", "direct", "planet", "box", "today", "one", "area"]
+#: Names made of a word of each class, and of an invented one.
+FORMS, INVENTED_FORMS = {1: 36, 0: 16}, 4
+
+
+def labelled_table() -> list[tuple[str, int, str, str]]:
+    """(url, label 1 block / 0 allow, name, its word): each word alone and put together with companions, in front, behind, with and without a
+    hyphen, on many kinds of domain and path; invented words likewise, all allowed."""
+    size = len(SYLLABLES)
+    words = [(w, y, FORMS[y]) for y in (1, 0) for w in LABELLED_WORDS[y]]
+    words += [(a + SYLLABLES[(3 * i + j) % size] + SYLLABLES[(7 * i + 5 * j) % size], 0, INVENTED_FORMS) for i, a in enumerate(SYLLABLES) for j in range(6)]
     out, k = [], 0
-    names = [(w, y) for y in (1, 0) for w in LABELLED_WORDS[y]]
-    names += [(a + SYLLABLES[(3 * i + j) % len(SYLLABLES)] + SYLLABLES[(7 * i + 5 * j) % len(SYLLABLES)], 0) for i, a in enumerate(SYLLABLES) for j in range(6)]
-    for name, y in names:
-        for d in DOMAINS:
+    for i, (word, y, forms) in enumerate(words):
+        for form in range(forms):
             k += 1
-            out.append((f"http://{WHERE[k % 4]}{name}.{d}" + PATHS[(k // 4 + k) % len(PATHS)].format(k * 37 % 10_007), y))
+            other, gap = COMPANIONS[(5 * i + 11 * form) % len(COMPANIONS)], ("", "-")[(i + form) // 4 % 2]
+            name = (word, other + gap + word, word + gap + other, word)[form % 4]
+            path = PATHS[(k // 4 + k) % len(PATHS)].format(k * 37 % 10_007)
+            out.append((f"http://{WHERE[k % 4]}{name}.{DOMAINS[(3 * k + form) % len(DOMAINS)]}{path}", y, name, word))
     return out
 
 
+def labelled_urls() -> list[tuple[str, int]]:
+    """(url, label) of :func:`labelled_table`."""
+    return [(url, y) for url, y, _, _ in labelled_table()]
+
+
 def host_of(url: str | Column) -> Column:
     """After the first :// up to /, ?, # or the end; only A-Z are lower-cased."""
     h = F.coalesce(F.regexp_extract(url, _PARTS, 1), F.lit(""))
