@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerosieve.llm.common import read, stored
+from aerosieve.llm.common import drop_stored, read, stored
 from aerosieve.llm.jaccard_join import one_of_each
 from aerosieve.llm.packing import pack
 from aerosieve.llm.quality import resample_rows
@@ -43,7 +43,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:  # one copy of the corpus at a time
+            drop_stored(before)
+        before = docs
+    out = STAGES[-1][1](spark, docs, sf_dir)  # stored by itself
+    drop_stored(docs)
+    return out
