@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+#: Folders that this driver has written and not yet deleted.
+_MADE: set[str] = set()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,17 +41,28 @@ def stored(df: DataFrame, label: str = "t") -> DataFrame:
     read the files instead of recomputing, whichever executors are still alive."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _MADE.difference_update({path, path.replace("file:///", "file:/", 1), path.replace("file:/", "file:///", 1)})
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files behind a frame made by :func:`stored`, through Hadoop's file system."""
-    spark = df.sparkSession
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for root in roots:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, root)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that :func:`stored` has written and that is still there: call it when the results of the operators have been saved, which are
+    often read from these files."""
+    for path in sorted(_MADE):
+        _delete(spark, path)
 
 
 #: Rows of an Arrow batch. Rows here hold whole texts, so Spark's 10,000 would make batches of tens of MB, held several times over.

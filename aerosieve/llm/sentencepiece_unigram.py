@@ -11,7 +11,9 @@ words go through the trie together, one vector step per position, and a bounded
 cache keeps their ids. Decoding joins pieces, turns byte pieces into text and word marks
 into spaces, and drops the mark that encoding puts before a text.
 
-Null counts as the empty text, which has no pieces.
+Null counts as the empty text, which has no pieces. Each row has a result, repeated rows and null ids too; very long texts are
+encoded whole, word by word; an empty table gives an empty one, and other columns are ignored, whatever their names. Models with user-defined pieces, which
+would come before any score, raise.
 """
 
 from __future__ import annotations
@@ -139,6 +141,8 @@ class Pieces:
             if kind == BYTE:
                 bytes_at[int(p[3:5], 16)] = k
             texts.append(bytes([int(p[3:5], 16)]) if kind == BYTE else b" \xe2\x81\x87 " if kind == UNKNOWN else p.encode() if kind in (NORMAL, USER) else b"")
+        if any(kind == USER for _, _, kind in pieces):
+            raise ValueError("user-defined pieces are not read: they would have to win over any score")
         unknown = next(k for k, x in enumerate(pieces) if x[2] == UNKNOWN)
         words = [(p.encode(), k) for k, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER)]
         by_word = not any(MARK in p.lstrip(MARK) for p, _, kind in pieces if kind in (NORMAL, USER))

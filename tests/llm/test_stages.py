@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 
 import duckdb
@@ -100,3 +101,32 @@ def test_pipeline_without_rows_and_without_labels(spark, folder):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for _, stage in cp.STAGES[:2]:  # no labels: both filters keep everything
         assert stage(spark, docs, empty).count() == docs.count()
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    from aerosieve.llm import common
+
+    common.clear_scratch(spark)
+    one, two = common.stored(spark.range(5), "one"), common.stored(spark.range(7), "two")
+    paths = [f.rsplit("/", 1)[0].removeprefix("file://") for t in (one, two) for f in t.inputFiles()[:1]]
+    common.drop_stored(one)
+    assert not os.path.exists(paths[0]) and two.count() == 7 and len(common._MADE) == 1
+    common.clear_scratch(spark)
+    assert not os.path.exists(paths[1]) and not common._MADE
+
+
+def test_user_defined_pieces_raise(tmp_path):
+    from aerosieve.llm import sentencepiece_unigram
+
+    def field(number, kind, data):
+        return bytes([number << 3 | kind]) + (bytes([len(data)]) + data if kind == 2 else data)
+
+    piece = lambda text, kind: field(1, 2, field(1, 2, text) + field(2, 5, b"\0\0\0\0") + field(3, 0, bytes([kind])))
+    rules = field(3, 2, field(4, 0, b"\0") + field(5, 0, b"\1"))
+    for kind in (1, 4):
+        (tmp_path / "m").write_bytes(piece(b"<unk>", 2) + piece(b"ab", kind) + rules)
+        if kind == 4:
+            with pytest.raises(ValueError, match="user-defined"):
+                sentencepiece_unigram.Pieces.load(str(tmp_path / "m"))
+        else:
+            assert sentencepiece_unigram.Pieces.load(str(tmp_path / "m")).unknown == 0
