@@ -15,8 +15,8 @@ each side, any other counts for both ends at once. Cells return counts and spann
 forests, never the pairs. A cell with many vectors is cut into chunks and its tiles are dealt to
 different tasks, so a hot cell or a large group of near copies does not sit in one.
 
-Vectors that are null, zero, hold null or non-finite components or are of another length than most link with nothing. Of cells at
-equal distance the one of smaller codeword numbers is visited first; which is first changes no link, since all cells within the margin are visited. An
+Vectors that are null, zero, hold null or non-finite components or are of another length than most link with nothing. Cells at
+equal distance are visited in order of the halves' ranks; the order changes no link, since all cells within the margin are visited. An
 empty table gives an empty one; columns other than id and vector are ignored, whatever their names.
 Beyond MAX_CODEWORDS**2 * PER_CELL vectors the grid stays as it is and cells grow with the input.
 """

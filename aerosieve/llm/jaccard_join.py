@@ -23,7 +23,7 @@ Two texts link when the Jaccard similarity of their sets of word n-grams reaches
 
 Texts that are null, empty or only white space have the empty set and link with nothing.
 With fewer words than ``n`` the whole sequence is the one n-gram. Rows with a null
-id are left out of the result. Very long texts are hashed whole, and one above a chunk's bound is a chunk by itself. N-grams of equal counts are ranked by
+id are left out of the result. Very long texts are hashed whole, and a chunk is larger by what one of them exceeds its share. N-grams of equal counts are ranked by
 hash, so ties change candidates, never links. An empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
