@@ -74,19 +74,25 @@ def merge_into(rows: DataFrame, base: str, by: list[str], combine: Callable[[Dat
         delete(spark, staged)
         return False
     names = [*[c for c in rows.columns if c not in by], *by]
-    rows = rows.select(names)  # partition columns come last when they are read
+    rows = rows.select(names).persist()  # partition columns come last when they are read; a landing is parsed once
     touched = [tuple(r) for r in rows.select(*by).distinct().collect()]
     if touched:
         if not exists(spark, f"{staged}/_SUCCESS"):
             old = read_table(spark, base, rows.schema).filter(in_partitions(by, touched))
-            write_partitioned(combine(old.unionByName(rows)).select(names), staged, by, rows=file_rows)
+            _stage(combine(old.unionByName(rows)).select(names), staged)
+        # counting rows for files of even size reads the staged rows, not the merge again
         write_partitioned(spark.read.schema(rows.schema).parquet(staged), f"{base}/data", by, "overwrite", file_rows, dynamic=True)
+    rows.unpersist()
     record = [(batch, sorted("/".join(map(str, t)) for t in touched), json.dumps(notes or {}, default=str))]
     spark.createDataFrame(record, RECORD).coalesce(1).write.mode("overwrite").json(done)
     delete(spark, staged)
     return True
 
 
+def _stage(merged: DataFrame, path: str) -> None:
+    merged.write.mode("overwrite").parquet(path)
+
+
 def merge_batch(rows: DataFrame, base: str, keys: list[str], order: list[str], by: list[str], batch: str) -> bool:
     """I10 on the touched partitions only: of each key the first row in ``order`` stays, whichever batch brought it. Let ``order`` begin with the number of
     the pull and old pulls win, in whatever order they arrive. A key's rows must share their partition."""

@@ -65,19 +65,25 @@ def test_failed_batch_is_repeated(spark, tmp_path, monkeypatch, broken):
     base, add = str(tmp_path / "t"), lambda both: both.groupBy("k", "month").agg(F.sum("v").alias("v"))
     make = lambda data: spark.createDataFrame(data, "k int, v double, month int")
     tables.merge_into(make([(1, 1.0, 1), (2, 1.0, 2)]), base, ["month"], add, "one")
-    real, calls = tables.write_partitioned, []
+    stage, replace, calls = tables._stage, tables.write_partitioned, []
 
-    def stop(df, path, *args, **kw):
+    def staging(df, path):
         calls.append(path)
+        stage(df, path)
         if broken == "staging":
+            tables.delete(spark, f"{path}/_SUCCESS")  # a folder without the mark of a finished write
             raise OSError(path)
-        real(df, path, *args, **kw)
-        if broken == "replacing" and path.endswith("/data"):
+
+    def replacing(df, path, *args, **kw):
+        calls.append(path)
+        replace(df, path, *args, **kw)
+        if broken == "replacing":
             tables.delete(spark, f"{base}/data/month=1")  # half of the replacement is lost
             raise OSError(path)
 
     with monkeypatch.context() as m:
-        m.setattr(tables, "write_partitioned", stop)
+        m.setattr(tables, "_stage", staging)
+        m.setattr(tables, "write_partitioned", replacing)
         if broken == "recording":
             m.setattr(tables, "json", SimpleNamespace(dumps=lambda *a, **k: 1 / 0))
         with pytest.raises((OSError, ZeroDivisionError)):
