@@ -130,3 +130,24 @@ def test_user_defined_pieces_raise(tmp_path):
                 sentencepiece_unigram.Pieces.load(str(tmp_path / "m"))
         else:
             assert sentencepiece_unigram.Pieces.load(str(tmp_path / "m")).unknown == 0
+
+
+def test_token_store_with_repeated_and_null_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from aerosieve.llm import queries, token_blocks
+
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    rows = [(5, "one text"), (5, "one text"), (5, "another"), (None, "no id"), (None, None), (2**53 + 1, "large"), (-3, "below zero")] + [(7, "equal rows")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("x")).repartition(5)
+    token_blocks.write_tokens(df, str(tmp_path / "t"), path, end_id=0)
+    want = collections.Counter((i, tuple(tok.encode(t or "", add_special_tokens=False).ids + [0])) for i, t in rows)
+    assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in token_blocks.read_tokens(spark, str(tmp_path / "t")).collect()) == want
+    at = 0
+    index = token_blocks.token_index(spark, str(tmp_path / "t")).collect()
+    for r in sorted(index, key=lambda r: r["start"]):  # each starts where the one before ends
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(index, key=lambda r: r["start"])]
+    assert order[:2] == [None, None] and order[2:] == sorted(order[2:]) and at == sum(len(k[1]) * n for k, n in want.items())
