@@ -21,6 +21,8 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null and u <> v")
     e = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
         # large star: neighbours above a node go to the smallest of the node and its neighbours
         up = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
