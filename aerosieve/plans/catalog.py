@@ -604,20 +604,19 @@ def _landed(spark, d):
     page = F.to_json(F.struct(F.min("l_suppkey").alias("location_id"), F.col("o_orderkey").alias("sensor_id"), F.collect_list(entry).alias("results")))
     lines = l.groupBy("o_orderkey", "o_orderstatus").agg(page.alias("j"))  # an order has few lines
     lines = lines.select(F.expr("CASE WHEN o_orderstatus = 'P' THEN left(j, length(j) - 3) ELSE j END").alias("value"))
-    landed, good, bad = (scratch_path(spark, x) for x in ("pages", "good", "bad"))
-    lines.write.text(landed)
-    ingest.land(spark, landed, schemas.MEASUREMENTS_JSON, good, bad)
-    return good, bad
+    pages = scratch_path(spark, "pages")
+    lines.write.text(pages)
+    return ingest.land(spark, pages, schemas.MEASUREMENTS_JSON, scratch_path(spark, "landed"))
 
 
 @query("i6_quarantine_good", f"SELECT l_orderkey AS sensor_id, l_quantity AS value, l_returnflag AS parameter_name FROM {_BROKEN} WHERE o_orderstatus <> 'P'")
 def i6_good(spark, d):
-    return ingest.flatten_measurements(spark.read.parquet(_landed(spark, d)[0])).select("sensor_id", "value", "parameter_name")
+    return ingest.flatten_measurements(_landed(spark, d)[0]).select("sensor_id", "value", "parameter_name")
 
 
 @query("i6_quarantine_bad", "SELECT DISTINCT o_orderkey AS sensor_id, true AS has_file FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'")
 def i6_bad(spark, d):
-    bad = spark.read.parquet(_landed(spark, d)[1])
+    _, bad = _landed(spark, d)
     return bad.select(F.regexp_extract("record", '"sensor_id":([0-9]+)', 1).cast("long").alias("sensor_id"), F.col("file").like("part-%").alias("has_file"))
 
 
@@ -629,20 +628,19 @@ def _landed_csv(spark, d):
     rows = table(spark, d, "customer").select(
         F.col("c_custkey").cast("string").alias("location_id"), F.concat(F.lit('Station, "'), "c_name", F.lit('"')).alias("name"),
         F.expr("CASE WHEN c_acctbal < 0 THEN 'n/a' ELSE CAST(c_nationkey AS STRING) END").alias("latitude"), F.lit("77.5").alias("longitude"), F.lit("KEEP").alias("status"))
-    landed, good, bad = (scratch_path(spark, x) for x in ("csv", "good", "bad"))
-    rows.write.csv(landed, header=True, quote='"', escape='"')
-    ingest.land(spark, landed, _CSV, good, bad, "csv", multiLine=True)
-    return good, bad
+    path = scratch_path(spark, "csv")
+    rows.write.csv(path, header=True, quote='"', escape='"')
+    return ingest.land(spark, path, _CSV, scratch_path(spark, "landed"), "csv", multiLine=True)
 
 
 @query("i1_quarantine_good", "SELECT c_custkey AS location_id, 'Station, \"' || c_name || '\"' AS name, CAST(c_nationkey AS DOUBLE) AS latitude FROM customer WHERE c_acctbal >= 0")
 def i1_good(spark, d):
-    return spark.read.parquet(_landed_csv(spark, d)[0]).select("location_id", "name", "latitude")
+    return _landed_csv(spark, d)[0].select("location_id", "name", "latitude")
 
 
 @query("i1_quarantine_bad", "SELECT c_custkey AS location_id, CAST(4 AS BIGINT) AS n_read FROM customer WHERE c_acctbal < 0")
 def i1_bad(spark, d):
-    bad = spark.read.parquet(_landed_csv(spark, d)[1])
+    _, bad = _landed_csv(spark, d)
     return bad.select(F.regexp_extract("record", "^([0-9]+),", 1).cast("long").alias("location_id"), F.col("n_read").cast("long").alias("n_read"))
 
 

@@ -197,11 +197,18 @@ def quarantined_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record"), F.col(FILE).alias("file"), n_read.alias("n_read"))
 
 
-def land(spark: SparkSession, path: str, schema: str, good: str, bad: str, format: str = "json", **options) -> None:
-    """Writes a landing's good rows and its quarantine as two Parquet tables; both are read with these schemas, and no record is in both or in neither."""
+def land(spark: SparkSession, path: str, schema: str, out: str, format: str = "json", **options) -> tuple[DataFrame, DataFrame]:
+    """Writes a landing to the Parquet table ``out`` in one pass, its broken records in a partition of their own, and returns
+    (good rows, quarantine). Every record is in one of them."""
     df = read_permissive(spark, path, schema, format, **options)
-    good_rows(df).write.mode("overwrite").parquet(good)
-    quarantined_rows(df).write.mode("overwrite").parquet(bad)
+    df.withColumn("quarantined", F.col(CORRUPT).isNotNull()).write.mode("overwrite").partitionBy("quarantined").parquet(out)
+    return landed(spark, out, schema)
+
+
+def landed(spark: SparkSession, out: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(good rows, quarantine) of a table of :func:`land`; each reads its own partition."""
+    df = spark.read.schema(f"{schema}, {CORRUPT} string, {FILE} string, quarantined boolean").parquet(out)
+    return good_rows(df.filter(~F.col("quarantined")).drop("quarantined")), quarantined_rows(df.filter("quarantined").drop("quarantined"))
 
 
 def write_tiles(pixels: DataFrame, path: str, keys: list[str], degrees: float, order: list[str], rows: int = FILE_ROWS) -> None:

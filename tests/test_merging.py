@@ -152,17 +152,20 @@ def test_quarantine(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text(page(1, H[:1], 1.0) + '{"location_id": 2, "results": [\n' + "not json\n" + '{"location_id": "x", "sensor_id": 5}\n')
     (tmp_path / "in" / "b.json").write_text(page(3, H[:1], 1.0) + "{}\n")
-    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
     from aerosieve.sources import schemas
 
-    ingest.land(spark, str(tmp_path / "in"), schemas.MEASUREMENTS_JSON, good, bad)
-    assert {r[0] for r in spark.read.parquet(good).select("location_id").collect()} == {1, 3, None}
-    got = {(r["record"], r["file"], r["n_read"]) for r in spark.read.parquet(bad).collect()}
+    good, bad = ingest.land(spark, str(tmp_path / "in"), schemas.MEASUREMENTS_JSON, str(tmp_path / "out"))
+    assert {r[0] for r in good.select("location_id").collect()} == {1, 3, None} and good.columns == ["location_id", "sensor_id", "results"]
+    got = {(r["record"], r["file"], r["n_read"]) for r in bad.collect()}
     assert {g[0] for g in got} == {'{"location_id": 2, "results": [', "not json", '{"location_id": "x", "sensor_id": 5}'} and {g[1] for g in got} == {"a.json"}
+    assert "quarantined=true" not in good._jdf.queryExecution().executedPlan().toString() and ingest.flatten_measurements(good).count() == 2
     (tmp_path / "c.csv").write_text('id,name,x\n1,"a, ""b""",2.5\n2,c,no\n3,d\n4,"two\nlines",1\n5,e,1,9\n')
-    ingest.land(spark, str(tmp_path / "c.csv"), "id int, name string, x double", good, bad, "csv", multiLine=True)
-    assert rows(spark.read.parquet(good)) == [(1, 'a, "b"', 2.5), (4, "two\nlines", 1.0)]
-    assert {r["record"].strip() for r in spark.read.parquet(bad).collect()} == {"2,c,no", "3,d", "5,e,1,9"}
+    good, bad = ingest.land(spark, str(tmp_path / "c.csv"), "id int, name string, x double", str(tmp_path / "out2"), "csv", multiLine=True)
+    assert rows(good) == [(1, 'a, "b"', 2.5), (4, "two\nlines", 1.0)]
+    assert {r["record"].strip() for r in bad.collect()} == {"2,c,no", "3,d", "5,e,1,9"}
+    (tmp_path / "d.csv").write_text("id,name,x\n1,a,1\n")
+    good, bad = ingest.land(spark, str(tmp_path / "d.csv"), "id int, name string, x double", str(tmp_path / "out3"), "csv")
+    assert good.count() == 1 and bad.count() == 0
 
 
 def test_tiles_are_pruned(spark, tmp_path):
