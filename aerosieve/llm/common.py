@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,20 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, max_bytes
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int):
+    """Arrow batches of ``rows`` rows for what is executed inside: for rows of some MB each."""
+    before = spark.conf.get(BATCH_ROWS, None)
+    spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_ROWS)
+        else:
+            spark.conf.set(BATCH_ROWS, before)
+
+
 def texts(column) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

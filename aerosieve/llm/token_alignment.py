@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, map_rows, stored
+from .common import drop_stored, map_rows, rows_per_batch, stored
 
 CACHE = 200_000
 BLOCK_UNITS = 1 << 18
@@ -374,7 +374,8 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     hot = table.filter(F.col("n") > total // HOT_PAIRS).orderBy("pair").toArrow()  # fewer than HOT_PAIRS rows can have more than this share
     shared = spark.sparkContext.broadcast([hot[c].to_numpy() for c in ("pair", "n", "best")])
     schema = f"block long, place int, id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long, rare array<long>, times array<long>"
-    half = stored(map_rows(blocks, lambda: _weigh(shared), schema), "weighed")
+    with rows_per_batch(spark, 1):  # a row is a block
+        half = stored(map_rows(blocks, lambda: _weigh(shared), schema), "weighed")
     rare = half.select("block", "place", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("block", "place", F.col("r.rare").alias("pair"), F.col("r.times").alias("times"))
     rest = rare.join(table, "pair").groupBy("block", "place").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more_sum"))
     out = half.drop("rare", "times").join(rest, ["block", "place"], "left")
