@@ -106,15 +106,16 @@ def train(hosts: list[str], paths: list[str], labels: np.ndarray, rounds: int =
         return weights, -1.0
     sets = [url_features(h, p) for h, p in zip(hosts, paths, strict=True)]
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    col = np.concatenate(sets)
+    used, col = np.unique(np.concatenate(sets), return_inverse=True)  # other weights stay zero
     scale = 1 / np.sqrt(np.maximum(1, np.array([len(s) for s in sets])))
-    past, past_bias = np.full(1 << BITS, 1e-8), 1e-8
+    past, past_bias, own = np.full(len(used), 1e-8), 1e-8, np.zeros(len(used))
     for _ in range(rounds):
-        z = np.bincount(row, weights[col], len(sets)) * scale + bias
+        z = np.bincount(row, own[col], len(sets)) * scale + bias
         slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(sets)
-        g = np.bincount(col, slope[row] * scale[row], 1 << BITS) + ridge * weights
+        g = np.bincount(col, slope[row] * scale[row], len(used)) + ridge * own
         past, past_bias = past + g * g, past_bias + slope.sum() ** 2
-        weights, bias = weights - rate * g / np.sqrt(past), bias - rate * slope.sum() / np.sqrt(past_bias)
+        own, bias = own - rate * g / np.sqrt(past), bias - rate * slope.sum() / np.sqrt(past_bias)
+    weights[used] = own
     return weights, float(bias)
 
 
