@@ -349,7 +349,8 @@ def _weigh(hot):
 
 
 def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256): one row for each row of ``docs``."""
+    """(id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256): one row for each row of ``docs``. Paths: files
+    that the driver and every executor have (the installed tokenizers)."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = d.schema["id"].dataType.simpleString()
