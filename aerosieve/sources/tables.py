@@ -8,7 +8,8 @@ A table is a folder with
 
 A batch reads and rewrites only the partitions that it has rows for; the others keep their files. It is safe to repeat: a batch with a record is
 skipped; one that failed while staging starts again from the untouched data; one that failed while partitions were
-replaced takes the staged content once more, which is whole. So a merge may add up (sums) as well as choose (first of a key). One writer at a time.
+replaced takes the staged content once more, which is whole. So a merge may add up (sums) as well as choose (first of a key). One writer at a time. What is
+finished is told by the _SUCCESS marks that Spark's writers leave unless told not to.
 """
 
 from __future__ import annotations
