@@ -27,3 +27,10 @@ def test_points_on_the_edge_of_a_box(spark, tmp_path):
     """Suppliers 10354 and 35834 lie at the northern edge, 28.5135."""
     got, want = both(spark, tmp_path, "i3_in_bbox", supplier=([(i, "s", 1, 1.0) for i in (0, 1, 10354, 35834)], SUPPLIER))
     assert got == want and {(10354,), (35834,)} <= set(got)
+
+
+def test_points_at_the_tolerance_of_a_cell(spark, tmp_path):
+    """Of these the SQL counted 21802, 59306 and 40554 as too far from their cell's centre, by rounding."""
+    rows = [(i, "s", 1, 1.0) for i in (0, 1, 2, 3, 21802, 40554, 59306)]
+    got, want = both(spark, tmp_path, "q13_coordinate_violations", supplier=(rows, SUPPLIER))
+    assert got == want and not {21802, 40554, 59306} & {r[0] for r in got}
