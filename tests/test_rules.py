@@ -34,3 +34,10 @@ def test_points_at_the_tolerance_of_a_cell(spark, tmp_path):
     rows = [(i, "s", 1, 1.0) for i in (0, 1, 2, 3, 21802, 40554, 59306)]
     got, want = both(spark, tmp_path, "q13_coordinate_violations", supplier=(rows, SUPPLIER))
     assert got == want and not {21802, 40554, 59306} & {r[0] for r in got}
+
+
+def test_location_without_parameters(spark, tmp_path):
+    """As in the reference, a location whose sensors name no parameter has an empty string."""
+    got, want = both(spark, tmp_path, "i2_locations", orders=([(1, 3), (2, 6)], "o_orderkey long, o_custkey long"),
+                     lineitem=([(1, 1, "N"), (1, 2, "N"), (2, 1, "R"), (2, 2, "N"), (2, 3, "A")], "l_orderkey long, l_linenumber int, l_returnflag string"))
+    assert got == want == [(3, "c3", "", 2), (6, "c6", "A,R", 3)]
