@@ -54,3 +54,15 @@ def test_correlations_of_dense_points(spark, small):
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
     with pytest.raises(Exception, match="several rows"):
         geo.near_correlation(p, "id", "lat", "lon", 3.0, daily.union(daily), "k", "date", "v").collect()
+
+
+def test_pixels_of_one_cell_go_to_many_tasks(spark, tmp_path):
+    """Nearly all rows of a join on cells used to come out of the one task that has the cell."""
+    from aerosieve.sources import ingest
+
+    points = spark.range(3_000).selectExpr("id", "28.25D AS cell_lat", "76.6875D AS cell_lon")
+    pixels = spark.range(8_300).selectExpr("id AS image_id", "28.25D AS cell_lat", "76.6875D AS cell_lon", "if(id % 83 = 0, null, 1.5D) AS aod")
+    ingest.write_tiles(pixels, str(tmp_path / "t"), ["cell_lat", "cell_lon"], 2.0, ["image_id"])
+    for got in (ingest.sample_raster_at_points(points, pixels, ["cell_lat", "cell_lon"], "aod"), ingest.sample_tiles(points, spark, str(tmp_path / "t"), ["cell_lat", "cell_lon"], "aod", 2.0)):
+        by_task = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert sum(by_task) == 3_000 * 8_200 and max(by_task) <= 0.8 * sum(by_task)
