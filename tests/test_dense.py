@@ -42,6 +42,14 @@ def test_clusters_of_dense_points(spark, small, mode):
     assert geo.cluster_points(p.limit(0), "id", "lat", "lon", 1.0, mode).count() == 0
 
 
+def test_components_of_a_long_chain(spark):
+    """Groups used to shift by two labels a round, so that a chain of more than 120 ends came out in pieces."""
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(150)], "id_a int, id_b int, distance_km double")
+    assert geo.cluster_pairs(chain, "components").groupBy("cluster_id", "is_bridge").count().collect() == [(1, False, 150)]
+    with pytest.raises(RuntimeError, match="not complete"):
+        geo.cluster_pairs(chain, "components", max_rounds=2)
+
+
 def test_correlations_of_dense_points(spark, small):
     p = _points(spark, 3, 40)
     rng = random.Random(5)
