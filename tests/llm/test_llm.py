@@ -529,6 +529,21 @@ def test_html_empty_article(spark):
     assert got == {1: "", 2: "", 3: "No article"}
 
 
+def test_html_marked_pages_are_differenced(spark):
+    """Boxes that a site repeats in its articles under names that say nothing; lines that articles share stay."""
+    def page(k, box="Follow us on all channels", first="w7"):
+        own = "".join(f"<p>Line {i} of page {k}</p>" for i in range(4))
+        return f'<nav>Menu</nav><p>Outside</p><article><div class="t{k}"><h1>Report</h1></div><div class="{first}"><p>{box}</p></div><div class="body">{own}<p>Printed with leave</p></div><p>The end</p></article>'
+
+    rows = [(i, f"http://a.com/x/{i}", page(i)) for i in range(3)] + [(3, "http://a.com/x/3", page(3, "Only here")), (4, "http://a.com/x/4", page(4, first="other"))]
+    rows += [(5, "http://b.com/1", '<main><div class="n">Not found</div></main><p>A</p><p>B</p>'), (6, "http://b.com/2", '<main><div class="n">Not found</div></main><p>C</p><p>D</p>'), (0, "http://a.com/x/0", page(0))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(r["page_id"], r["text"].split("\n\n")) for r in html_text.main_text(df).collect()]
+    body = lambda k: [f"Line {i} of page {k}" for i in range(4)] + ["Printed with leave", "The end"]
+    want = [(k, ["Report", *body(k)]) for k in (0, 0, 1, 2)] + [(3, ["Report", "Only here", *body(3)]), (4, ["Report", "Follow us on all channels", *body(4)]), (5, ["Not found"]), (6, ["Not found"])]
+    assert sorted(got) == want
+
+
 def test_html_self_closed_svg_and_math():
     page = '<article><p>Before <svg class="i" width="1"/> it</p><p>Sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> and <math/> after</p><svg><text>Icon</text></svg><p>Last</p></article>'
     assert html_text.page_lines(page) == (["Before it", "Sum x+1 and after", "Last"], [])
