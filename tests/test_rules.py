@@ -41,3 +41,15 @@ def test_location_without_parameters(spark, tmp_path):
     got, want = both(spark, tmp_path, "i2_locations", orders=([(1, 3), (2, 6)], "o_orderkey long, o_custkey long"),
                      lineitem=([(1, 1, "N"), (1, 2, "N"), (2, 1, "R"), (2, 2, "N"), (2, 3, "A")], "l_orderkey long, l_linenumber int, l_returnflag string"))
     assert got == want == [(3, "c3", "", 2), (6, "c6", "A,R", 3)]
+
+
+def test_points_off_their_cell_by_whole_numbers(spark, tmp_path):
+    """As many points as 60 x sf0.1 has, counted in ten-thousandths of a degree; the SQL had 8 rows more."""
+    rows = [(i, "s", 1, 1.0) for i in range(60_000)]
+    got, want = both(spark, tmp_path, "q13_coordinate_violations", supplier=(rows, SUPPLIER))
+    far = set()
+    for i in range(60_000):
+        lat, lon = 284126 + i * 7919 % 4688, 768381 + i * 104729 % 5096
+        if abs(lat - (lat // 5000 * 5000 + 2500)) > 2000 or abs(lon - (1250 + (lon - 1250) // 6250 * 6250 + 3125)) > 2500:
+            far.add(i)
+    assert got == want and {r[0] for r in got} == far and len(got) == 24_353
