@@ -173,15 +173,21 @@ def keys_lost(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return before.select(key).filter(F.col(key).isNotNull()).distinct().join(after.select(key).distinct(), key, "left_anti")
 
 
-def coordinate_violations(df: DataFrame, mapping: DataFrame, cell: str, lat: str, lon: str, cell_lat: str, cell_lon: str, tol: float = 0.05) -> DataFrame:
-    """Q13: rows farther than ``tol`` degrees from their cell's centre on either axis. Cells that are not mapped are not checked."""
+def coordinate_violations(df: DataFrame, mapping: DataFrame, cell: str, lat: str, lon: str, cell_lat: str, cell_lon: str, tol: float = 0.05, tol_lon: float | None = None, digits: int | None = None) -> DataFrame:
+    """Q13: rows farther than ``tol`` degrees from their cell's centre on either axis (``tol_lon`` for longitudes, if given). Cells that are not
+    mapped are not checked. With ``digits`` distances are rounded to so many decimals first: for coordinates of fewer decimals that is their
+    distance in decimals, whereas between doubles the last bit decides at the tolerance."""
+    def off(c: str, centre: str) -> Column:
+        d = F.abs(F.col(c) - F.col(centre))
+        return d if digits is None else F.round(d, digits)
+
     m = mapping.select(F.col(cell), F.col(cell_lat), F.col(cell_lon)).dropDuplicates([cell])
-    return df.join(m, cell).filter((F.abs(F.col(lat) - F.col(cell_lat)) > tol) | (F.abs(F.col(lon) - F.col(cell_lon)) > tol))
+    return df.join(m, cell).filter((off(lat, cell_lat) > tol) | (off(lon, cell_lon) > (tol if tol_lon is None else tol_lon)))
 
 
-def coordinate_gate(df: DataFrame, mapping: DataFrame, cell: str, lat: str, lon: str, cell_lat: str, cell_lon: str, tol: float = 0.05) -> DataFrame:
+def coordinate_gate(df: DataFrame, mapping: DataFrame, cell: str, lat: str, lon: str, cell_lat: str, cell_lon: str, tol: float = 0.05, tol_lon: float | None = None, digits: int | None = None) -> DataFrame:
     """Q13: returns ``df``, or raises naming the cells concerned. One aggregate action; at most 20 names travel."""
-    bad = coordinate_violations(df, mapping, cell, lat, lon, cell_lat, cell_lon, tol).groupBy(cell).count().orderBy(cell).limit(20).collect()
+    bad = coordinate_violations(df, mapping, cell, lat, lon, cell_lat, cell_lon, tol, tol_lon, digits).groupBy(cell).count().orderBy(cell).limit(20).collect()
     if bad:
         raise ValueError("coordinates do not match their cells: " + ", ".join(f"{r[0]} ({r[1]} rows)" for r in bad))
     return df

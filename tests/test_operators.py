@@ -164,6 +164,16 @@ def test_gates(spark):
         qc.review_gate(bad, "id")
 
 
+def test_coordinates_at_the_tolerance(spark):
+    """Id 2 is an ulp above 28.45, which is 0.2 from its cell's centre; 3 and 4 are a ten-thousandth too far, 5 has no coordinates."""
+    m = spark.createDataFrame([(1, 28.25, 77.3125)], "cell_id int, cell_lat double, cell_lon double")
+    df = spark.createDataFrame([(1, 28.45, 77.0625), (2, 284500 * 0.0001, 77.0625), (3, 28.4501, 77.0625), (4, 28.25, 77.0624), (5, None, None)], "id int, lat double, lon double").withColumn("cell_id", F.lit(1))
+    args = (df, m, "cell_id", "lat", "lon", "cell_lat", "cell_lon", 0.2)
+    assert rows(qc.coordinate_violations(*args, tol_lon=0.25, digits=6).select("id")) == [(3,), (4,)]
+    assert rows(qc.coordinate_violations(*args, tol_lon=0.25).select("id")) == [(2,), (3,), (4,)]
+    assert rows(qc.coordinate_violations(*args, digits=6).select("id")) == [(1,), (2,), (3,), (4,)]
+
+
 def test_close_pairs_property(spark):
     rng = random.Random(3)
     pts = []
