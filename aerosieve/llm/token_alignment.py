@@ -11,10 +11,11 @@ something else, and around a newline before something else. (B's vocabulary is c
 newline beside other characters, or its space mark behind others; else whole texts are units.) Units are aligned once and kept in a bounded cache; new ones are
 aligned together, one after the other in two long lists of ends.
 
-Plan. One pass over the texts writes blocks, each a row of at most BLOCK_UNITS unit occurrences (or one text, if longer): its texts'
+Plan. One pass over the texts writes blocks, each a row of some BLOCK_UNITS unit occurrences (or one text, if longer; a text counts as TEXT_UNITS more): its texts'
 figures, their units as numbers, and the links of each distinct unit. Spark sums the blocks' counts of links by pair. Pairs that hold more
 than one in HOT_PAIRS of all links, fewer than HOT_PAIRS by arithmetic, are broadcast and added up where the blocks are; the
 rest of the links, rare by definition, are joined on the pair. Blocks are numbered by task and written, so a lost executor repeats tasks only.
+Blocks are read one at a time, and written in row groups of a few: what a task holds does not depend on how much it reads.
 
 Texts that are null or empty, or whose tokens of A or B joined differ from space + text (such as a text with B's space mark in it), have no
 tokens: zeros and ''. Special tokens' strings are plain text. Very long texts, runs of white space and words of any length are
@@ -35,10 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, map_rows, rows_per_batch, stored
+from .common import LARGE_ROWS, drop_stored, map_rows, rows_per_batch, stored
 
 CACHE = 200_000
+#: Bytes of all cached units.
+CACHE_BYTES = 16 * CACHE
 BLOCK_UNITS = 1 << 18
+#: What a text, with tokens or without, takes in its block beside its units.
+TEXT_UNITS = 16
+#: Rows, one for each text, that are read at once with their rare links.
+TEXT_ROWS = 256
 #: Words that are encoded together.
 JOINED = 128
 HOT_PAIRS = 1 << 20
@@ -132,7 +139,7 @@ class Aligner:
         self.clear()
 
     def clear(self) -> None:
-        self.at = _Numbers()
+        self.at, self.held = _Numbers(), 0
         self.n_a, self.n_b, self.n_groups, self.ok = array("i"), array("i"), array("i"), array("b")
         self.text: list[str] = []
         self.codes, self.ends = array("q"), array("q", [0])
@@ -179,6 +186,7 @@ class Aligner:
         new, self.at.new = self.at.new, []
         if not new:
             return
+        self.held += sum(len(u.encode()) for u in new)
         found = self._tokens(new)
         good = [f for f in found if f]
         ok = np.fromiter((bool(f) for f in found for _ in (f[0] if f else (0,))), bool, len(new))
@@ -264,6 +272,7 @@ class _Blocks:
             m.learn()
             ok, n_a, n_b, n_g, ends = (np.frombuffer(x, x.typecode) for x in (m.ok, m.n_a, m.n_b, m.n_groups, m.ends))
             for own, at in zip(ids, found, strict=True):
+                self.held += TEXT_UNITS
                 if not len(at) or not ok[at].all():
                     self.docs.append((own, 0, 0, 0, 0, "", at[:0]))
                     continue
@@ -271,9 +280,10 @@ class _Blocks:
                 self.docs.append((own, int(n_a[at].sum()), int(n_b[at].sum()), int(n_g[at].sum()), int((ends[at + 1] - ends[at]).sum()), hashlib.sha256(text.encode()).hexdigest(), at))
                 self.held += len(at)
             del ok, n_a, n_b, n_g, ends  # arrays with views of them cannot grow
-            if self.held >= BLOCK_UNITS or len(m.at) > CACHE:
+            full = len(m.at) > CACHE or m.held > CACHE_BYTES
+            if self.held >= BLOCK_UNITS or full:
                 done.append(self.block())
-            if len(m.at) > CACHE:
+            if full:
                 m.clear()
         return pa.concat_tables(done) if done else None
 
@@ -365,7 +375,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
         first.finish = lambda: made[0].finish() if made else ()
         return first
 
-    blocks = stored(map_rows(d, make, BLOCK.format(kind)), "blocks")
+    blocks = stored(map_rows(d, make, BLOCK.format(kind)), "blocks", **LARGE_ROWS)
     size_b = len_b(path_b)
     each = blocks.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.counts").alias("n"))
     # a B id meets each A id once at most, so a group has no more rows than A's vocabulary
@@ -381,7 +391,8 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     rest = rare.join(table, "pair").groupBy("block", "place").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more_sum"))
     out = half.drop("rare", "times").join(rest, ["block", "place"], "left")
     more = lambda c, m: (F.col(c) + F.coalesce(m, F.lit(0))).alias(c)
-    out = stored(out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", more("n_best", "more_best"), more("count_sum", "more_sum"), "groups_sha256"), "aligned")
+    with rows_per_batch(spark, TEXT_ROWS):
+        out = stored(out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", more("n_best", "more_best"), more("count_sum", "more_sum"), "groups_sha256"), "aligned")
     for t in (blocks, table, half):
         drop_stored(t)
     return out

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from aerosieve.llm import queries, token_alignment as ta
 
@@ -172,3 +173,53 @@ def test_query_on_the_given_table(spark, libraries):
     rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet'").fetchall()
     got = {r["doc_id"]: tuple(r[c] for c in COLS) for r in queries.QUERIES["op11_tokenizer_alignment"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {i: w for (i, _), w in zip(rows, brute(libraries, [t for _, t in rows]))}
+
+
+def test_texts_without_tokens_fill_blocks(libraries, monkeypatch):
+    """Null, empty and short texts used to wait in one block for units of others, however many there were."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ta, "BLOCK_UNITS", 2_000)
+    work = ta._Blocks(ta.Aligner(A, B), pa.int64())
+    texts = [None, "", "a▁b", "ab"] * 256
+    out = work(pa.RecordBatch.from_arrays([pa.array(range(1024)), pa.array(texts)], ["id", "text"]))
+    blocks = [out.slice(i, 1) for i in range(out.num_rows)] + list(work.finish())
+    assert [i for b in blocks for i in b["ids"][0].as_py()] == list(range(1024)) and max(len(b["ids"][0]) for b in blocks) <= 256
+
+
+def test_cache_is_bounded_in_bytes(monkeypatch):
+    """Few units, each of a whole text without spaces, used to stay in the cache up to their number."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ta, "CACHE_BYTES", 100_000)
+    m = ta.Aligner(A, B)
+    work = ta._Blocks(m, pa.int64())
+    for lo in range(0, 1024, 256):
+        work(pa.RecordBatch.from_arrays([pa.array(range(256)), pa.array([f"{lo + i}" + "語" * 300 for i in range(256)])], ["id", "text"]))
+        assert m.held <= 100_000 and len(m.at) <= 256
+
+
+def test_rows_of_some_mb_are_written_and_read_few_at_a_time(spark, tmp_path):
+    """A row group used to hold 100 rows at least, and the reader decoded all of them at once: an executor of 10 GB ran out of memory on blocks of 0.5 GB of texts."""
+    import pyarrow.parquet as pq
+
+    from aerosieve.llm import common
+
+    rows = spark.range(0, 60, 1, 1).select("id", F.expr("transform(sequence(1, 131072), x -> xxhash64(x, id))").alias("v"))
+    t = common.stored(rows, "large", **common.LARGE_ROWS)
+    meta = pq.ParquetFile(t.inputFiles()[0].removeprefix("file://")).metadata
+    assert meta.num_rows == 60 and max(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) <= 20
+
+    def read_at_once():
+        q = t.select("id", F.size("v"))._jdf.queryExecution()
+        q.toRdd().count()
+        node = q.executedPlan()
+        while node.nodeName() != "ColumnarToRow":
+            node = node.children().head()
+        return 60 / node.metrics().apply("numInputBatches").value()
+
+    assert read_at_once() > 1
+    with common.rows_per_batch(spark, 1):
+        assert read_at_once() == 1
+    assert read_at_once() > 1
+    common.drop_stored(t)
