@@ -74,3 +74,34 @@ def test_pixels_of_one_cell_go_to_many_tasks(spark, tmp_path):
     for got in (ingest.sample_raster_at_points(points, pixels, ["cell_lat", "cell_lon"], "aod"), ingest.sample_tiles(points, spark, str(tmp_path / "t"), ["cell_lat", "cell_lon"], "aod", 2.0)):
         by_task = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
         assert sum(by_task) == 3_000 * 8_200 and max(by_task) <= 0.8 * sum(by_task)
+
+
+def test_pixels_of_points_take_little_room(spark, tmp_path):
+    """Nearly a byte a row before, on disk: too much where a result has billions of rows. Keys are doubles, which a merge would shuffle a second time."""
+    from aerosieve.sources import ingest
+
+    points = spark.range(3_000).selectExpr("id", "-0.0D AS cell_lat", "76.6875D AS cell_lon")
+    pixels = spark.range(4_000).selectExpr("id * 4 AS image_id", "0.0D AS cell_lat", "76.6875D AS cell_lon", "cast(xxhash64(id) % 100000 AS double) / 100 AS aod")
+    got = ingest.sample_raster_at_points(points, pixels, ["cell_lat", "cell_lon"], "aod")
+    assert got.columns == ["cell_lat", "cell_lon", "id", "image_id", "aod"]
+    got.select("id", "image_id", "aod").write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    want = points.select("id").join(pixels.select("image_id", "aod"))
+    total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("id", "image_id", "aod").cast("decimal(38,0)"))).first()
+    assert total(out) == total(want)
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.3 * 3_000 * 4_000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    merge = plan[plan.index("SortMergeJoin [_tile") :]
+    assert merge.count("Exchange hashpartitioning(_tile") == 2
+
+
+def test_keys_of_other_types(spark):
+    from aerosieve.sources import ingest
+
+    left = spark.createDataFrame([(0.1, 1), (float("nan"), 2), (-0.0, 3), (None, 4), (2.5, 5)], "k double, a int")
+    right = spark.createDataFrame([(0.1, 1), (float("nan"), 2), (0.0, 3), (None, 4), (2.5, 5)], "k float, b int")
+    assert sorted((r["a"], r["b"]) for r in joins.spread_join(left, right, ["k"]).collect()) == [(2, 2), (3, 3), (5, 5)]
+    whole = right.filter("k = 2.5").withColumn("k", F.lit(2)).union(right.filter("k = 2.5").withColumn("k", F.lit(0)))
+    assert [(r["a"], r["b"]) for r in joins.spread_join(left, whole, ["k"]).collect()] == [(3, 5)]
+    # points without other columns, and such that have no hash
+    assert ingest.sample_raster_at_points(left.select("k"), right, ["k"], "b").count() == 3
